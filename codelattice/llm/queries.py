@@ -12,6 +12,25 @@ from codelattice.session import ship, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _passage_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from codelattice.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, d, "collection_passages"), "pid", "passage_text", threshold=(3, 5), width=3)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from codelattice.llm.neardup import pairs_of_keys
+
+    return pairs_of_keys(*_passage_links(spark, d), "pid")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each pid: its class of equal passages, that class's links, and the group of linked classes."""
+    from codelattice.llm.neardup import classes
+
+    return classes(*_passage_links(spark, d), "pid")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from codelattice.llm.splitter import traced_pieces
 
@@ -56,7 +75,7 @@ def p8_unigram_levels(spark: SparkSession, d: str) -> DataFrame:
     return unigram_levels(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_balanced, p4_found, p6_ids, p8_found, p8_unigram_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p4_found, p6_ids, p8_found, p8_unigram_levels)}
 
 SQL: dict[str, str] = {
     "p4_found": """
