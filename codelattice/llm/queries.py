@@ -45,6 +45,13 @@ def p2_balanced(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "collection_passages"), "pid", "passage_text", penalties=(0.0, 0.2, 1.0))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from codelattice.llm.knn import nearest
+
+    found = nearest(table(spark, d, "training_embedding_samples"), "sample_id", "v", queries=table(spark, d, "centroids"))
+    return found.select("kind", "owner_id", "neighbour_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from codelattice.llm.topn import top_n
 
@@ -75,7 +82,7 @@ def p8_unigram_levels(spark: SparkSession, d: str) -> DataFrame:
     return unigram_levels(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p4_found, p6_ids, p8_found, p8_unigram_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p3_found, p4_found, p6_ids, p8_found, p8_unigram_levels)}
 
 SQL: dict[str, str] = {
     "p4_found": """
