@@ -70,6 +70,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from codelattice.llm.leakage import leaked
+
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage close to an item in the latent space that shares its order of words and its telling words."""
+    from codelattice.llm.leakage import paraphrased
+
+    return paraphrased(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from codelattice.llm.reading import formula_levels
 
@@ -82,7 +95,7 @@ def p8_unigram_levels(spark: SparkSession, d: str) -> DataFrame:
     return unigram_levels(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p3_found, p4_found, p6_ids, p8_found, p8_unigram_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p3_found, p4_found, p6_ids, p7_found, p7_paraphrases, p8_found, p8_unigram_levels)}
 
 SQL: dict[str, str] = {
     "p4_found": """
