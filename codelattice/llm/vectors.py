@@ -76,6 +76,44 @@ def sample_units(df: DataFrame, key: str, vector: str, dim: int, total: int, mos
     return np.frombuffer(b"".join(got), np.float32).reshape(-1, dim).astype(np.float64)
 
 
+def strongest(x: np.ndarray, centres: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The centre of the largest product with each vector, and that product, in blocks."""
+    best, top, c = np.zeros(len(x), np.int64), np.zeros(len(x), np.float32), centres.T.astype(np.float32)
+    for at in range(0, len(x), rows):
+        s = x[at : at + rows].astype(np.float32) @ c
+        best[at : at + rows] = s.argmax(1)
+        top[at : at + rows] = s[np.arange(len(s)), best[at : at + rows]]
+    return best, top
+
+
+def spherical_means(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """``k`` unit vectors in the middle of groups of the sample."""
+    p = sample[np.random.default_rng(seed).choice(len(sample), k, replace=False)]
+    for _ in range(rounds):
+        near, _ = strongest(sample, p)
+        sums = np.zeros_like(p)
+        np.add.at(sums, near, sample)
+        norm = np.sqrt((sums**2).sum(1))
+        p = np.where((norm > 0)[:, None], sums / np.maximum(norm, 1e-12)[:, None], p)
+    return p
+
+
+def leaders(sample: np.ndarray, least: float, seed: int = 5) -> np.ndarray:
+    """Members of the sample such that each member has a cosine of at least ``least`` with one of them, and they have less with each other."""
+    left, chosen = np.random.default_rng(seed).permutation(len(sample)), []
+    x = sample.astype(np.float32)
+    while len(left):
+        some = left[:128]
+        near = x[some] @ x[some].T >= least
+        own: list[int] = []
+        for i in range(len(some)):
+            if not near[i, own].any():
+                own.append(i)
+        chosen.append(some[own])
+        left = left[strongest(x[left], x[some[own]])[1] < np.float32(least)]
+    return sample[np.concatenate(chosen)] if chosen else sample[:0]
+
+
 class Cells:
     """Which cells a unit vector belongs to: ``home`` gets the best one, ``all`` those it is near enough to as well."""
 
@@ -86,6 +124,15 @@ class Cells:
         raise NotImplementedError
 
 
+def packed_evenly(sizes: np.ndarray, bins: int) -> np.ndarray:
+    """A bin for each size, so that the bins are of even size."""
+    out, load = np.zeros(len(sizes), np.int64), np.zeros(max(1, bins))
+    for i in np.argsort(-sizes, kind="stable"):
+        out[i] = np.argmin(load)
+        load[out[i]] += sizes[i]
+    return out
+
+
 def tile_keys(cells: Cells, names: np.ndarray, home: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each placement of a vector: row, tile (of cell, block of owners, block of points), whether as an owner, whether as a point.
 
