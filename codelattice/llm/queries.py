@@ -58,6 +58,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "trec_run"), "qid", "did", "s", 10).select("qid", "did")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from codelattice.llm.mixture import clusters
+
+    return clusters(table(spark, d, "training_embedding_samples"), "sample_id", "v").select("cluster_first_id", "sample_id", "typical_id")
+
+
+def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's components with their sizes and their members of the highest density."""
+    from codelattice.llm.mixture import mixture_groups
+
+    return mixture_groups(table(spark, d, "training_embedding_samples"), "sample_id", "v")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from codelattice.llm.tokenizer import encode_documents
 
@@ -95,7 +108,7 @@ def p8_unigram_levels(spark: SparkSession, d: str) -> DataFrame:
     return unigram_levels(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p3_found, p4_found, p6_ids, p7_found, p7_paraphrases, p8_found, p8_unigram_levels)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_balanced, p3_found, p4_found, p5_found, p5_mixture, p6_ids, p7_found, p7_paraphrases, p8_found, p8_unigram_levels)}
 
 SQL: dict[str, str] = {
     "p4_found": """
