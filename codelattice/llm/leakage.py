@@ -233,11 +233,16 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", d
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return int(row[-1])
+    """Length of the longest common subsequence: a row of the table is one integer, whose zero bits are its steps."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        if m := places.get(x, 0):
+            row = ((row + (row & m)) | (row & ~m)) & full
+    return len(b) - row.bit_count()
 
 
 def paraphrased(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", window: int = 48, least_words: int = 10, least_cosine: float = 0.8, least_common: float = 0.5, telling: int = 5, least_telling: float = 0.6, rank: int = RANK) -> DataFrame:
@@ -264,7 +269,7 @@ def paraphrased(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_i
         for a in range(0, max(1, len(ids) - window // 2), window // 2):
             part = ids[a : a + window]
             rare = np.unique(part)[np.argsort(n[np.unique(part)], kind="stable")][:telling]
-            chunks.append((k, part, rare))
+            chunks.append((k, part, rare.tolist()))
     sums = np.stack([latent[c].sum(0) for _, c, _ in chunks])
     sums /= np.maximum(np.sqrt((sums**2).sum(1)), 1e-12)[:, None]
     given = spark.sparkContext.broadcast((latent.astype(np.float32), sums.astype(np.float32), chunks))
@@ -283,10 +288,13 @@ def paraphrased(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_i
                 x = np.stack([latent[own[a : a + window]].sum(0) for a in starts])
                 x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
                 s = x @ sums.T
-                for i, j in zip(*np.nonzero(s >= least_cosine), strict=True):
+                held: dict[int, set[int]] = {}
+                for i, j in zip(*(x.tolist() for x in np.nonzero(s >= least_cosine)), strict=True):
                     k, part, rare = chunks[j]
                     passage = own[starts[i] : starts[i] + window]
-                    if np.isin(rare, passage).mean() < least_telling:
+                    if i not in held:
+                        held[i] = set(passage.tolist())
+                    if sum(x in held[i] for x in rare) < least_telling * len(rare):
                         continue
                     common = common_subsequence(part, passage) / len(part)
                     if common >= least_common:
