@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where that is unset."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = getattr(spark.sparkContext, "_codelattice_dir", "")
         if not given:
             given = "file://" + tempfile.mkdtemp(prefix="codelattice-")
