@@ -47,7 +47,7 @@ def _open(path: str):
 
     if path.startswith("file:"):
         return pq.ParquetFile(path.removeprefix("file:").removeprefix("//"))
-    where, name = fs.FileSystem.from_uri(path)
+    where, name = fs.FileSystem.from_uri("s3://" + path.removeprefix("s3a://") if path.startswith("s3a://") else path)
     return pq.ParquetFile(where.open_input_file(name))
 
 
