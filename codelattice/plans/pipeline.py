@@ -52,11 +52,12 @@ def run_indexing(spark: SparkSession, a: Indexing, encoder: TokenEncoder | None
     if todo.training:
         start = spark.read.parquet(a.init_centroids) if a.init_centroids else None
         k = number_of_centroids(a, start.count() if start is not None else None)
-        o = codebook.Objective(False, a.use_soft_assignment, a.max_difference_objective, a.with_kmeans_objective, a.entropy_regularization, a.initial_temperature, a.final_temperature, a.temperature_anneal_steps)
         asked = None
         if a.training_queries:
             texts = indexing.training_queries(readers.read_queries(spark, a.training_queries), "text", a.max_n_queries)
             asked = matrix(encode(texts, "rank", "text", encoder, is_query=True).select("v").toArrow()["v"].combine_chunks())
+        # the weighted loss needs as many queries as vectors: those of the batch
+        o = codebook.Objective(a.with_weighted_assignments and asked is None, a.use_soft_assignment, a.max_difference_objective, a.with_kmeans_objective, a.entropy_regularization, a.initial_temperature, a.final_temperature, a.temperature_anneal_steps)
         samples = spark.read.parquet(a.training_embedding_samples or f"{path}/samples")
         initial = matrix(start.orderBy("cid").select("v").toArrow()["v"].combine_chunks()) if start is not None else None
         book = codebook.train_codebook(samples, k, objective=o, queries=asked, initial=initial, steps=a.max_steps, restart=a.reinit_centroids_at_end_of_epoch, seed=a.seed)
