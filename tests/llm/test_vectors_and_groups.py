@@ -58,6 +58,19 @@ def test_nearest_of_nothing(spark):
     assert knn.nearest(df.where("sample_id < 0"), "sample_id", "v", dim=DIM).count() == 0
 
 
+def test_a_vector_is_in_every_cell_within_the_margin():
+    u = unit(np.random.default_rng(4).normal(size=(1_500, DIM)))
+    cells = knn.PivotCells(u[:800], 1_500, 0.3, cell=20)
+    _, mask = cells.scores(u)
+    s = u.astype(np.float32) @ cells.pivots.T
+    best = s.argmax(1)
+    apart = np.linalg.norm(cells.pivots[best][:, None] - cells.pivots[None], axis=2)
+    led = (u.astype(np.float32) @ cells.leaders.T).max(1) if len(cells.leaders) else np.zeros(len(u))
+    within = s.max(1)[:, None] - s <= 0.3 * apart - 1e-5
+    within[led >= cells.near[1] - 1e-5] = False
+    assert within.sum(1).max() > 8 and mask[:, cells.first :][within].all()
+
+
 def test_collisions_find_what_is_near():
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=(400, 96)))
