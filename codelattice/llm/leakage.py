@@ -245,12 +245,21 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
+def window_starts(lengths: np.ndarray, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of texts of so many words: its text, and its first word there. The last ones of a text may be cut by its end."""
+    n = -(-np.maximum(1, lengths - window // 2) // stride)
+    text = np.repeat(np.arange(len(lengths)), n)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
+
+
 def paraphrased(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", window: int = 48, least_words: int = 10, least_cosine: float = 0.8, least_common: float = 0.5, telling: int = 5, least_telling: float = 0.6, rank: int = RANK) -> DataFrame:
     """Documents with a passage that says what an item says: ``doc_key``, ``item_key``, ``cosine`` and ``common`` of their best passage.
 
-    Passages are windows of ``window`` words, half overlapping; an item is cut in the same way. Candidates have a cosine of at least ``least_cosine``
-    in the latent space. They hold if the longest common subsequence covers at least ``least_common`` of the item's window and if the passage
-    has at least ``least_telling`` of the item window's ``telling`` rarest words (the answer, as far as a text without marked answers has one).
+    An item is cut in windows of ``window`` words, half overlapping; a shorter item or rest is a window of its own. Passages are windows of
+    ``window`` words at a stride of a quarter, of a half for shorter windows of items; these are also compared with passages of their length or up
+    to a fifth more at a stride of an eighth, as in a longer passage the words around them would outweigh them. Candidates have a cosine of at least
+    ``least_cosine`` in the latent space. They hold if the longest common subsequence covers at least ``least_common`` of the item's window and
+    if the passage has at least ``least_telling`` of the item window's ``telling`` rarest words (the answer, as far as a text without marked answers has one).
     Only words of the items' vocabulary take part. Special rows are treated as by :func:`leaked`.
     """
     spark = documents.sparkSession
@@ -269,36 +278,71 @@ def paraphrased(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_i
         for a in range(0, max(1, len(ids) - window // 2), window // 2):
             part = ids[a : a + window]
             rare = np.unique(part)[np.argsort(n[np.unique(part)], kind="stable")][:telling]
-            chunks.append((k, part, rare.tolist()))
+            chunks.append((k, part, rare))
     sums = np.stack([latent[c].sum(0) for _, c, _ in chunks])
     sums /= np.maximum(np.sqrt((sums**2).sum(1)), 1e-12)[:, None]
-    given = spark.sparkContext.broadcast((latent.astype(np.float32), sums.astype(np.float32), chunks))
+    sizes = [window]
+    while sizes[-1] > least_words:
+        sizes.append(max(least_words, sizes[-1] * 5 // 6))
+    fits = np.array([min(c for c in sizes if c >= len(part)) for _, part, _ in chunks])
+    searched = [(window, max(1, window // 4), np.flatnonzero(fits == window)), (window, window // 2, np.flatnonzero(fits < window))]
+    searched = [x for x in searched if len(x[2])]
+    searched += [(c, max(1, c // 8), np.flatnonzero(fits == c)) for c in sizes[1:] if (fits == c).any()]
+    rarest = np.full((len(chunks), telling), -2, np.int32)  # -2 is no word's number
+    for j, (_, _, rare) in enumerate(chunks):
+        rarest[j, : len(rare)] = rare
+    given = spark.sparkContext.broadcast((whole_numbers(latent), sums.astype(np.float32), chunks, rarest, searched))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, sums, chunks = given.value
+        vectors, sums, chunks, rarest, searched = given.value
+        needed = least_telling * (rarest >= 0).sum(1)
         for b in batches:
             offsets, w = flattened(b.column(1))
+            lengths = np.add.reduceat(np.append(w >= 0, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0) if b.num_rows else np.zeros(0, np.int64)
+            w = w[w >= 0]
+            first = np.cumsum(lengths) - lengths
+            enough = np.flatnonzero(lengths >= least_words)
+            plans = []
+            for size, stride, which in searched:
+                text, at = window_starts(lengths[enough], size, stride)
+                doc = enough[text]
+                start, stop = first[doc] + at, np.minimum(at + size, lengths[doc]) + first[doc]
+                # a passage with fewer of all these windows' rarest words has too few of each one's
+                rare = np.zeros(len(vectors), bool)
+                rare[rarest[which][rarest[which] >= 0]] = True
+                seen = np.concatenate(([0], np.cumsum(rare[w])))
+                some = seen[stop] - seen[start] >= needed[which].min()
+                plans.append((size, which, sums[which].T, doc[some], start[some], stop[some]))
             best: dict[tuple[int, int], tuple[float, float]] = {}
-            for d in range(b.num_rows):
-                own = w[offsets[d] : offsets[d + 1]]
-                own = own[own >= 0]
-                if len(own) < least_words:
-                    continue
-                starts = np.arange(0, max(1, len(own) - window // 2), window // 2)
-                x = np.stack([latent[own[a : a + window]].sum(0) for a in starts])
-                x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
-                s = x @ sums.T
-                held: dict[int, set[int]] = {}
-                for i, j in zip(*(x.tolist() for x in np.nonzero(s >= least_cosine)), strict=True):
-                    k, part, rare = chunks[j]
-                    passage = own[starts[i] : starts[i] + window]
-                    if i not in held:
-                        held[i] = set(passage.tolist())
-                    if sum(x in held[i] for x in rare) < least_telling * len(rare):
-                        continue
-                    common = common_subsequence(part, passage) / len(part)
-                    if common >= least_common:
-                        best[d, k] = max(best.get((d, k), (0.0, 0.0)), (float(s[i, j]), common))
+            for low in range(0, len(w), 20_000):
+                part = w[low : low + 20_000 + window]
+                total = np.zeros((len(part) + 1, vectors.shape[1]), np.int32)
+                np.cumsum(vectors[part], axis=0, dtype=np.int32, out=total[1:])  # differences hold even where the sums wrap around
+                for size, which, turned, doc, start, stop in plans:
+                    begin, end = np.searchsorted(start, (low, low + 20_000))
+                    for a in range(begin, end, 4_096):
+                        z = min(a + 4_096, end)
+                        x = (total[stop[a:z] - low] - total[start[a:z] - low]).astype(np.float32)
+                        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+                        s = x @ turned
+                        i, j = np.nonzero(s >= least_cosine)
+                        if not len(i):
+                            continue
+                        cosine, i, j = s[i, j], i + a, which[j]
+                        has = np.zeros(len(i), np.int64)
+                        for q in range(0, len(i), 10_000):
+                            at = start[i[q : q + 10_000], None] + np.arange(size)
+                            passage = np.where(at < stop[i[q : q + 10_000], None], w[np.minimum(at, len(w) - 1)], -1)
+                            has[q : q + 10_000] = sum((passage == r[:, None]).any(1).astype(np.int64) for r in rarest[j[q : q + 10_000]].T)
+                        fine = np.flatnonzero(has >= needed[j])
+                        for q in fine[np.argsort(-cosine[fine], kind="stable")].tolist():
+                            k, own, _ = chunks[j[q]]
+                            pair, c = (int(doc[i[q]]), k), float(cosine[q])
+                            if pair in best and best[pair][0] > c:
+                                continue
+                            common = common_subsequence(own, w[start[i[q]] : stop[i[q]]]) / len(own)
+                            if common >= least_common:
+                                best[pair] = max(best.get(pair, (0.0, 0.0)), (c, common))
             if best:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([d for d, _ in best])), pa.array([k for _, k in best], pa.int64()), pa.array([c for c, _ in best.values()]), pa.array([c for _, c in best.values()])], [doc_key, item_key, "cosine", "common"])
 

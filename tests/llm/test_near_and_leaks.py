@@ -124,6 +124,21 @@ def test_paraphrases(spark):
     assert len(got & want) >= 18 and len(got - want) <= 2
 
 
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(rng.sample(WORDS, rng.randint(10, 40)))) for k in range(60)]
+    docs = [(d, " ".join(rng.choice(WORDS) for _ in range(300))) for d in range(60)]
+    for d in range(60):
+        w = [rng.choice(WORDS) for _ in range(300)]
+        at = rng.randrange(300)
+        w[at:at] = items[d][1].split()
+        docs.append((100 + d, " ".join(w)))
+    docs += [(200, ""), (201, None), (202, "ganz anders"), (203, " ".join(["x"] * 50)), (204, items[7][1])]
+    got = rows(leakage.paraphrased(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).select("doc_id", "item_id"))
+    want = {(100 + d, d) for d in range(60)} | {(204, 7)}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 3
+
+
 def test_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 1]), np.array([3, 4, 1, 2, 1, 3])
     table = np.zeros((6, 7), int)
