@@ -104,6 +104,19 @@ def test_clusters(spark, monkeypatch, copies, tile, margin):
     assert rows(got) == grouped(ids, u) and got.count() == len(rows(got))
 
 
+def test_a_vector_is_in_every_component_within_the_margin():
+    u = unit(np.random.default_rng(6).normal(size=(900, DIM)))
+    m = mixture.Mixture(u, 900, 3.0, cell=15)
+    _, mask = m.scores(u)
+    x = m.reduced(u).astype(np.float64)
+    d = x[:, None] - m.means
+    s = np.log(m.weights) - 0.5 * (np.log(2 * np.pi * m.variances) + d * d / m.variances).sum(2)
+    slope, best = d / m.variances, s.argmax(1)
+    apart = np.linalg.norm(slope[np.arange(len(u)), best][:, None] - slope, axis=2)
+    row, col = np.nonzero(s.max(1)[:, None] - s <= 3.0 * apart - 1e-3)
+    assert np.bincount(row).max() > 12 and mask[row, m.cell_of[col]].all()
+
+
 def test_clusters_of_nothing_and_components(spark):
     df, ids, _ = samples(spark)
     assert mixture.clusters(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
