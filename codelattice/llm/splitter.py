@@ -31,7 +31,7 @@ def boundaries(text: str) -> tuple[list[int], list[int], np.ndarray]:
 
 
 def cut(kind: np.ndarray, most: int, least: int, overlap: int, penalties: tuple[float, float, float] | None = None, balance: float = 1.0) -> list[tuple[int, int]]:
-    """First and last word of each piece, by dynamic programming over the boundary positions.
+    """First and last word of each piece: by dynamic programming over the boundary positions where ``penalties`` are given, else greedily.
 
     A piece from word a ends before a word b with a + least < b <= a + most, and the next one starts at b - overlap; when at most
     ``most`` words remain, the piece is the last. The value of a start is the cost of the cheapest way to cut what remains.
