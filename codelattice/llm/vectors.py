@@ -59,14 +59,14 @@ def names(packed: list[bytes]) -> np.ndarray:
 def sample_units(df: DataFrame, key: str, vector: str, dim: int, total: int, most: int = SAMPLE) -> np.ndarray:
     """Unit vectors of about ``most`` usable rows at most, chosen by a hash of their numbers: copies of one vector count once."""
     h = F.abs(F.xxhash64(vector) % 1_000_000)
-    part = df.where(h < int(min(1.0, 0.9 * most / max(1, total)) * 1_000_000)).select(vector).limit(2 * most)
+    part = df.where(h < int(min(1.0, 0.9 * most / max(1, total)) * 1_000_000)).select(vector)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, _ = matrix(b.column(0), dim)
             yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in unit(x).astype(np.float32)], pa.binary())], ["u"])
 
-    got = part.mapInArrow(units, "u binary").distinct().toArrow()["u"].to_pylist()
+    got = part.mapInArrow(units, "u binary").distinct().limit(2 * most).toArrow()["u"].to_pylist()  # copies take no places of the limit
     got.sort()
     return np.frombuffer(b"".join(got), np.float32).reshape(-1, dim).astype(np.float64)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from codelattice.llm import knn, mixture, topn
-from codelattice.llm.vectors import unit
+from codelattice.llm.vectors import sample_units, unit
 
 from ..helpers import rows
 
@@ -71,6 +71,13 @@ def test_a_vector_is_in_every_cell_within_the_margin():
     assert within.sum(1).max() > 8 and mask[:, cells.first :][within].all()
 
 
+def test_copies_take_no_places_of_the_sample(spark):
+    x = np.random.default_rng(2).normal(size=(50, DIM)).astype(np.float32)
+    data = [(i, x[0].tolist()) for i in range(2_000)] + [(2_000 + i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "sample_id long, v array<float>").coalesce(1)
+    assert len(sample_units(df, "sample_id", "v", DIM, 50, 60)) == 50
+
+
 def test_collisions_find_what_is_near():
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=(400, 96)))
