@@ -65,10 +65,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture's components with their sizes and their members of the highest density."""
+    """The vectors of each index in as many groups as the latest row of its metadata says, with sizes and most typical members."""
     from codelattice.llm.mixture import mixture_groups
+    from codelattice.sources.readers import last_wins
 
-    return mixture_groups(table(spark, d, "training_embedding_samples"), "sample_id", "v")
+    held = last_wins(table(spark, d, "index_metadata").where("index_id is not null"), "index_id", "written_at")
+    numbers = {r.index_id: r.n_centroids for r in held.select("index_id", "n_centroids").collect() if r.n_centroids}  # a row for each index
+    return mixture_groups(table(spark, d, "training_embedding_samples"), "sample_id", "v", by="index_id", numbers=numbers)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

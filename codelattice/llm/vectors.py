@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelattice.session import hint_small, write_scratch
+
 #: A sample of at most so many vectors is fitted on; the driver holds it.
 SAMPLE = 65_536
+#: A vector in more rows than this is put together to one row before it is placed.
+HOT = 1_000
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,19 +60,62 @@ def names(packed: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b) for b in packed], np.uint64).view(np.int64)
 
 
-def sample_units(df: DataFrame, key: str, vector: str, dim: int, total: int, most: int = SAMPLE) -> np.ndarray:
-    """Unit vectors of about ``most`` usable rows at most, chosen by a hash of their numbers: copies of one vector count once."""
-    h = F.abs(F.xxhash64(vector) % 1_000_000)
-    part = df.where(h < int(min(1.0, 0.9 * most / max(1, total)) * 1_000_000)).select(vector)
+def usable(vector: str, dim: int) -> Column:
+    """Whether a column of arrays holds a usable vector, as :func:`matrix` has it; JVM-side, without a function for each element."""
+    v = F.col(vector)
+    most, least, inf = F.array_max(v), F.array_min(v), F.lit(float("inf"))
+    return (F.size(v) == dim) & (F.size(F.array_compact(v)) == dim) & (most < inf) & (least > -inf) & ((most != 0) | (least != 0))
+
+
+def survey(base: DataFrame, dim: int, hot: int | None = None) -> tuple[int, DataFrame | None]:
+    """Of rows (id, v): how many distinct usable vectors there are, and the names (``name``: xxhash64 of v) of those in more than ``hot`` rows, if any.
+
+    Rows are counted by a 64-bit hash of the vector, combined before anything is shuffled, so a vector in a third of all rows is one count of each task.
+    """
+    hot = HOT if hot is None else hot
+    counts = base.where(usable("v", dim)).select(F.xxhash64("v").alias("name")).groupBy("name").count()
+    distinct, many = counts.agg(F.count("*"), F.count_if(F.col("count") > hot)).first()
+    return distinct, write_scratch(counts.where(F.col("count") > hot).select("name")) if many else None
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, _ = matrix(b.column(0), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in unit(x).astype(np.float32)], pa.binary())], ["u"])
 
-    got = part.mapInArrow(units, "u binary").distinct().limit(2 * most).toArrow()["u"].to_pylist()  # copies take no places of the limit
-    got.sort()
-    return np.frombuffer(b"".join(got), np.float32).reshape(-1, dim).astype(np.float64)
+def split_hot(base: DataFrame, hot: DataFrame | None, ids: int, dim: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows (id, v) of other than hot vectors, and of each hot one a single row (ids, v) with its ``ids`` smallest ids."""
+    if hot is None:
+        return base, None
+    names, named = hint_small(hot), base.withColumn("name", F.xxhash64("v"))
+    own = named.where(usable("v", dim)).join(names, "name")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("id"))
+    few = own.select("name", "id").distinct().withColumn("r", rank).where(F.col("r") <= ids).groupBy("name").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    one = own.groupBy("name").agg(F.first("v").alias("v"))
+    return named.join(names, "name", "left_anti").select("id", "v"), few.join(one, "name").select("ids", "v")
+
+
+def sample_units(base: DataFrame, dim: int, most: int, distinct: int) -> np.ndarray:
+    """Unit vectors of the ``most`` distinct usable vectors with the smallest hashes (all, if there are fewer); ``distinct`` is how many there are.
+
+    Copies are put together before the choice. Only hashes below a bound that holds ``most`` of them almost surely are sorted; should it
+    hold fewer, all are. Whatever is unusable, and however many rows there are, a sample is empty only if no row is usable.
+    """
+    if distinct < 1:
+        return np.zeros((0, dim))
+
+    def smallest(share: float) -> np.ndarray:
+        rows = base.where(usable("v", dim)).select(F.xxhash64("v").alias("h"), "v")
+        if share < 1:
+            rows = rows.where(F.col("h") < hash_bound(share))
+        got = rows.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(most).select("v").toArrow()["v"]
+        return matrix(got, dim)[0]
+
+    share = (1.3 * most + 200) / distinct
+    x = smallest(share)
+    if share < 1 and len(x) < min(most, distinct):
+        x = smallest(1.0)
+    return unit(x) if len(x) else np.zeros((0, dim))
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit integer below which about this share of hashes lies, in integers: exact enough for any number of rows."""
+    return -(1 << 63) + max(1, int(share * (1 << 62)) << 2)
 
 
 def strongest(x: np.ndarray, centres: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:

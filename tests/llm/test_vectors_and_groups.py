@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codelattice.llm import knn, mixture, topn
-from codelattice.llm.vectors import sample_units, unit
+from codelattice.llm import knn, mixture, topn, vectors
+from codelattice.llm.vectors import hash_bound, sample_units, split_hot, survey, unit
 
 from ..helpers import rows
 
@@ -39,12 +40,13 @@ def neighbours(owners, kind, ids, u, k=5, least=0.8):
     return out
 
 
-@pytest.mark.parametrize("tile", [12_000, 60])
-def test_nearest(spark, tile):
+@pytest.mark.parametrize(("tile", "hot", "sample"), [(12_000, 1_000, 65_536), (60, 20, 65_536), (12_000, 1_000, 24)])
+def test_nearest(spark, monkeypatch, tile, hot, sample):
+    monkeypatch.setattr(vectors, "HOT", hot)
     df, ids, u = samples(spark)
     c = np.random.default_rng(9).normal(size=(6, DIM)).astype(np.float32)
     asked = [(100 + i, v.tolist()) for i, v in enumerate(np.concatenate([c, u[:20].astype(np.float32)]))] + [(99, None), (98, [0.0] * DIM)]
-    got = knn.nearest(df, "sample_id", "v", queries=spark.createDataFrame(asked, "cid int, v array<float>"), dim=DIM, cell=80, tile=tile)
+    got = knn.nearest(df, "sample_id", "v", queries=spark.createDataFrame(asked, "cid int, v array<float>"), dim=DIM, cell=80, tile=tile, sample=sample)
     got = [(r.kind, r.owner_id, r.neighbour_id) for r in got.collect()]
     uc = unit(np.array([v for _, v in asked[:-2]], np.float32))
     want = neighbours(zip(ids, u), "sample", ids, u) | neighbours(zip(range(100, 126), uc), "centroid", ids, u)
@@ -52,6 +54,17 @@ def test_nearest(spark, tile):
     assert len(set(got) & want) >= 0.99 * len(want) and len(set(got) - want) <= 0.01 * len(want)
 
 
+def test_more_samples_find_the_leaders_one_has_not(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(unit(rng.normal(size=(300, 40))), 10, axis=0)
+    x = unit(x + 0.02 * rng.normal(size=x.shape)).astype(np.float32)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    first, rest = knn.led_first(base, 40, 3_000, unit(x[:100]), 10_000, 20)
+    assert len(first[0]) > 200 and rest[1] * len(rest[0]) < 1_500
+    assert knn.led_first(base, 40, 3_000, unit(x[:400]), 10_000, 20) == (None, None)
+    assert len(knn.led_first(base, 40, 3_000, unit(x[:100]), 5, 20)[0][0]) == 10  # as many as are allowed are there
+
+
 def test_nearest_of_nothing(spark):
     df, _, _ = samples(spark)
     assert knn.nearest(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
@@ -71,11 +84,49 @@ def test_a_vector_is_in_every_cell_within_the_margin():
     assert within.sum(1).max() > 8 and mask[:, cells.first :][within].all()
 
 
+def based(spark, data, parts=1):
+    return spark.createDataFrame(data, "id long, v array<float>").coalesce(parts)
+
+
 def test_copies_take_no_places_of_the_sample(spark):
     x = np.random.default_rng(2).normal(size=(50, DIM)).astype(np.float32)
-    data = [(i, x[0].tolist()) for i in range(2_000)] + [(2_000 + i, v.tolist()) for i, v in enumerate(x)]
-    df = spark.createDataFrame(data, "sample_id long, v array<float>").coalesce(1)
-    assert len(sample_units(df, "sample_id", "v", DIM, 50, 60)) == 50
+    base = based(spark, [(i, x[0].tolist()) for i in range(2_000)] + [(2_000 + i, v.tolist()) for i, v in enumerate(x)])
+    assert survey(base, DIM)[0] == 50 and len(sample_units(base, DIM, 60, 50)) == 50
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_few_distinct_vectors_in_many_rows(spark, seed):
+    x = np.random.default_rng(seed).normal(size=(3, DIM)).astype(np.float32)
+    df = spark.range(20_000).select(F.col("id").alias("sample_id"), F.element_at(F.array(*(F.array(*map(F.lit, v.tolist())) for v in x)), (F.col("id") % 3 + 1).cast("int")).cast("array<float>").alias("v"))
+    assert knn.nearest(df, "sample_id", "v", dim=DIM).count() == 100_000
+    assert mixture.clusters(df, "sample_id", "v", dim=DIM).count() == 20_000
+
+
+def test_a_sample_is_never_empty_where_a_vector_is_usable(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3, DIM)).astype(np.float32)
+    assert len(sample_units(based(spark, [(i, x[i].tolist()) for i in range(3)]), DIM, 2, 3)) == 2
+    unusable = spark.range(50_000).select("id", F.array_repeat(F.lit(0.0), DIM).cast("array<float>").alias("v"))
+    one = based(spark, [(7, rng.normal(size=DIM).tolist())])
+    base = unusable.union(one)
+    assert survey(base, DIM)[0] == 1 and len(sample_units(base, DIM, 4096, 1)) == 1
+    assert survey(unusable, DIM)[0] == 0 and len(sample_units(unusable, DIM, 4096, 0)) == 0
+    assert len(sample_units(base, DIM, 4096, 10**12)) == 1  # the count is far too high: nothing is below the bound
+
+
+def test_the_bound_of_hashes_holds_for_any_number_of_rows():
+    for n in (10, 10**6, 10**12, 10**18):
+        share = (1.3 * 65_536 + 200) / max(n, 10**5)
+        assert abs((hash_bound(share) + 2**63) / 2**64 - share) <= 1e-9 * share + 1e-18
+
+
+def test_a_vector_in_half_of_the_rows_is_one_row_of_its_tile(spark):
+    df, ids, u = samples(spark, 3_000)
+    base = df.where("sample_id is not null").select(F.col("sample_id").alias("id"), "v")
+    distinct, hot = survey(base, DIM, 100)
+    cold, whole = split_hot(base, hot, 6, DIM)
+    assert hot.count() == 1 and whole.count() == 1 and cold.count() + 3_001 <= base.count()
+    assert whole.first()["ids"] == sorted(i for i, v in zip(ids, u) if abs(v @ u[-1] - 1) < 1e-12)[:6]
 
 
 def test_collisions_find_what_is_near():
@@ -103,9 +154,10 @@ def grouped(ids, u, least=0.8, size=3):
     return out
 
 
-@pytest.mark.parametrize(("copies", "tile", "margin"), [(40, 12_000, 0.5), (200, 12_000, 0.5), (10, 60, 0.5), (10, 12_000, 3.0)])
+@pytest.mark.parametrize(("copies", "tile", "margin"), [(40, 12_000, 0.5), (200, 12_000, 0.5), (10, 60, 0.5), (10, 12_000, 3.0), (201, 12_000, 0.5)])
 def test_clusters(spark, monkeypatch, copies, tile, margin):
     monkeypatch.setattr(mixture, "CELL", 40)
+    monkeypatch.setattr(vectors, "HOT", 100 if copies == 201 else 1_000)
     df, ids, u = samples(spark, copies)
     got = mixture.clusters(df, "sample_id", "v", dim=DIM, tile=tile, margin=margin)
     assert rows(got) == grouped(ids, u) and got.count() == len(rows(got))
@@ -129,7 +181,39 @@ def test_clusters_of_nothing_and_components(spark):
     assert mixture.clusters(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
     assert mixture.clusters(df.where("sample_id < 0"), "sample_id", "v", dim=DIM).count() == 0
     parts = mixture.mixture_groups(df, "sample_id", "v", dim=DIM).collect()
-    assert sum(r["size"] for r in parts) == len(ids) and all(1 <= len(r.typical_ids) <= 3 for r in parts)
+    assert len(parts) == len(ids) == len({r.sample_id for r in parts})
+    assert mixture.mixture_groups(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
+
+
+def test_as_many_groups_as_are_asked_for(spark):
+    df, ids, u = samples(spark, 30)
+    df = df.withColumn("kind", F.when(F.col("sample_id") % 3 == 0, "a").when(F.col("sample_id") % 3 == 1, "b"))
+    got = mixture.mixture_groups(df, "sample_id", "v", by="kind", numbers={"a": 25, "b": 10**6}, dim=DIM).collect()
+    assert {r.sample_id for r in got} == {*ids.tolist()} and len(got) == len(ids)
+    of = {k: [r for r in got if r.kind == k] for k in ("a", "b", None)}
+    assert len({r.component for r in of["a"]}) == 25
+    assert len({r.component for r in of["b"]}) == len({tuple(np.round(u[ids.tolist().index(r.sample_id)], 9)) for r in of["b"]})
+    for k, own in of.items():
+        for c in {r.component for r in own}:
+            members = [r for r in own if r.component == c]
+            assert {r["size"] for r in members} == {len(members)} and len({r.typical_id for r in members}) == 1 and members[0].typical_id in {r.sample_id for r in members}
+
+
+def test_a_mixture_finds_its_groups():
+    rng = np.random.default_rng(3)
+    centres = unit(rng.normal(size=(12, DIM)))
+    truth = rng.integers(0, 12, 3_000)
+    u = unit(centres[truth] + 0.05 * rng.normal(size=(3_000, DIM)))
+    for k in (12, None):
+        f = mixture.fitted_mixture(u[:1_500], k)
+        home, _ = mixture.densest(f, u[1_500:])
+        pure = sum(np.bincount(truth[1_500:][home == c]).max() for c in np.unique(home)) / 1_500
+        assert pure > 0.95 and (k is None or len(f["w"]) == 12)
+    w, m, v = f["w"], f["m"], f["v"]
+    x = ((u - f["mean"]) / f["scale"]) @ f["turn"]
+    d = x[:, None] - m
+    s = np.log(w) - 0.5 * (np.log(2 * np.pi * v) + d * d / v).sum(2)
+    assert (mixture.densest(f, u)[0] == s.argmax(1)).mean() > 0.999
 
 
 # -- top N
