@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelattice.llm.units import Hashes, lists, mixed, rotated, rows_of, words_of
@@ -59,7 +59,19 @@ class Shingles:
         return out
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: tuple[int, int] = (4, 5), width: int = 5, least_words: int = 20, items: int = 16, prefilter: float | None = None) -> tuple[DataFrame, DataFrame]:
+def collection(m: np.ndarray) -> np.ndarray:
+    """Keys of 64 bits from every two minhash values, a row for each key."""
+    with np.errstate(over="ignore"):
+        pairs = mixed((m[0::2].astype(np.uint64) << np.uint64(32)) | m[1::2]) + mixed(np.arange(1, len(m) // 2 + 1, dtype=np.uint64))[:, None]
+        return mixed(pairs).view(np.int64)
+
+
+def paired(table: DataFrame) -> DataFrame:
+    """Every two classes (a < b) of a bucket."""
+    return table.withColumnRenamed("class", "a").join(table.select("bucket", F.col("class").alias("b")), "bucket").where("a < b").select("a", "b")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: tuple[int, int] = (4, 5), width: int = 5, least_words: int = 20, items: int = 16, bucket: int = 128, prefilter: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sequences, and all pairs of classes whose shingle sets have a Jaccard similarity of at least ``threshold``.
 
     Returns ``members`` (class, ``key``) with one row for each distinct class and key, and ``links`` (a, b, shared, together) with a < b:
@@ -71,10 +83,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: tuple[int,
     once; different texts of one key each count. An empty table gives empty results. Other columns are ignored, whatever their names.
 
     Method: two collections A and B of ``items`` keys, each of two minhash values. Every pair (A_i, B_j) is a table, ``items`` squared tables
-    from ``4 * items`` minhashes instead of ``4 * items ** 2``. Only the A keys are shuffled; two classes that share one are candidates if
-    they share a B key too, that is, if they share one of the tables. A pair of similarity s is missed with a probability of at most
+    from ``4 * items`` minhashes instead of ``4 * items ** 2``. Two classes are candidates if they share the key of a table. The tables are
+    formed where they matter: classes are brought together by their A keys, each class once, and an A key that more than ``bucket`` classes have is
+    replaced by its tensored keys (A_i, B_j); where as many share one of these, too, they are joined in blocks, each with each. In smaller
+    A buckets the B keys are compared pair by pair. A pair of similarity s is missed with a probability of at most
     2 * (1 - s^2)^items. All the minhash values then estimate the similarity, and pairs more than 3.5 standard deviations below the
-    threshold are dropped (``prefilter`` sets that bound). What is left is verified on the exact shingle sets.
+    threshold are dropped (``prefilter`` sets that bound, 0 for none). What is left is verified on the exact shingle sets.
     """
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
@@ -89,9 +103,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: tuple[int,
             if not len(x.rows):
                 continue
             m = x.minima(2 * half)
-            with np.errstate(over="ignore"):
-                pairs = mixed((m[0:half:2].astype(np.uint64) << np.uint64(32)) | m[1:half:2]) + mixed(np.arange(1, items + 1, dtype=np.uint64))[:, None]
-                keys = (mixed(pairs) >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+            keys = collection(m[:half]).T
             sig = np.ascontiguousarray((m & np.uint32(255)).astype(np.uint8).T)
             new = np.zeros(len(x.rows), bool)
             for i, c in enumerate(x.sequence.tolist()):
@@ -104,20 +116,52 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, threshold: tuple[int,
                 [
                     part.column(0).take(pa.array(x.rows)),
                     pa.array(x.sequence, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[new].ravel(), pa.int32()), mask=mask),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[new].ravel(), pa.int64()), mask=mask),
                     pa.array([s.tobytes() if ok else None for s, ok in zip(sig, new, strict=True)], pa.binary()),
                 ],
                 ["key", "class", "keys", "sig"],
             )
 
     rows = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).where(F.col("_k").isNotNull() & (F.length("_t") >= 2 * least_words - 1))
-    base = write_scratch(rows.mapInArrow(sketch, f"key {kind}, class long, keys array<int>, sig binary"))
+    base = write_scratch(rows.mapInArrow(sketch, f"key {kind}, class long, keys array<long>, sig binary").withColumn("row", F.monotonically_increasing_id()))
     members = base.select("class", "key").distinct()
-
-    table = base.where("keys is not null").select(F.explode("keys").alias("bucket"), "class")
-    other = table.select("bucket", F.col("class").alias("b"))
-    pairs = table.withColumnRenamed("class", "a").join(other, "bucket").where("a < b").select("a", "b").distinct()
-    sigs = base.where("sig is not null").groupBy("class").agg(F.first("sig").alias("sig"))
+    # a class that several tasks have sketched counts once
+    several = base.where("keys is not null").groupBy("class").agg(F.sort_array(F.collect_list("row")).alias("r")).where(F.size("r") > 1)
+    again = write_scratch(several.select(F.explode(F.slice("r", 2, F.size("r") - 1)).alias("row")))
+    once = base.where("keys is not null").join(hint_small(again), "row", "left_anti")
+
+    table = once.select(F.explode("keys").alias("bucket"), "class")
+    crowded = write_scratch(table.groupBy("bucket").count().where(F.col("count") > bucket).select("bucket"))
+    if crowded.take(1):
+        # its tensored keys take the place of a crowded A key
+        listed = hint_small(crowded)
+
+        def tensored_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, 2 * half)
+                with np.errstate(over="ignore"):
+                    keys = mixed(collection(sig[:, half:].T).view(np.uint64).T + mixed(b.column(0).to_numpy().view(np.uint64))[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(b.column(1).to_numpy(), items))], ["bucket", "class"])
+
+        wide = once.select(F.explode("keys").alias("bucket"), "class", "sig").join(listed, "bucket").select("bucket", "class", "sig")
+        tensored_table = write_scratch(wide.mapInArrow(tensored_keys, "bucket long, class long"))
+        sizes = tensored_table.groupBy("bucket").count()
+        full = write_scratch(sizes.where(F.col("count") > bucket).select("bucket", F.ceil(F.col("count") / bucket).cast("int").alias("n")))
+        pairs = paired(table.join(listed, "bucket", "left_anti"))
+        if full.take(1):
+            blocks = hint_small(full)
+            pairs = pairs.union(paired(tensored_table.join(blocks.select("bucket"), "bucket", "left_anti")))
+            own = tensored_table.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
+            spread = own.select("class", "part", "bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+            pairs = pairs.union(paired(spread.select(F.xxhash64("bucket", F.least("part", "o"), F.greatest("part", "o")).alias("bucket"), "class")))
+        else:
+            pairs = pairs.union(paired(tensored_table))
+    else:
+        pairs = paired(table)
+    pairs = pairs.distinct()
+    sigs = once.select("class", "sig")
     pairs = pairs.join(sigs.select(F.col("class").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("class").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +209,8 @@ def classes(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     size = members.groupBy("class").agg(F.min(key).alias("first_key"), F.count("*").alias("copies"))
     ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "class")
-    about = size.join(ends, "class", "left").join(groups, "class", "left").withColumn("group", F.coalesce("component", "class"))
-    about = about.withColumn("group_key", F.min("first_key").over(Window.partitionBy("group")))
+    about = size.join(ends, "class", "left").join(groups, "class", "left")
+    least = about.where("component is not null").groupBy("component").agg(F.min("first_key").alias("group_key"))
+    about = about.join(least, "component", "left").withColumn("group_key", F.coalesce("group_key", "first_key"))
     about = about.select("class", F.col("first_key").alias("class_key"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "group_key")
     return members.join(about, "class").drop("class")

@@ -125,6 +125,18 @@ SQL: dict[str, str] = {
         n AS (SELECT pid, count(*) AS n FROM g GROUP BY pid),
         c AS (SELECT x.pid AS a, y.pid AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.pid < y.pid GROUP BY x.pid, y.pid)
         SELECT a AS pid_a, b AS pid_b FROM c JOIN n x ON x.pid = a JOIN n y ON y.pid = b WHERE 5 * c >= 3 * (x.n + y.n - c)""",
+    "p1_classes": r"""
+        WITH RECURSIVE w AS (SELECT pid, list_transform(regexp_extract_all(passage_text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM (SELECT DISTINCT pid, passage_text FROM collection_passages WHERE passage_text IS NOT NULL)),
+        m AS MATERIALIZED (SELECT DISTINCT pid, array_to_string(w, ' ') AS c FROM w WHERE len(w) >= 20),
+        k AS (SELECT c, min(pid) AS class_key, count(*) AS copies FROM m GROUP BY c),
+        g AS (SELECT DISTINCT c, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM (SELECT c, string_split(c, ' ') AS w FROM k)),
+        n AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+        b AS (SELECT x.c AS a, y.c AS b, count(*) AS s FROM g x JOIN g y ON x.g = y.g AND x.c <> y.c GROUP BY x.c, y.c),
+        e AS MATERIALIZED (SELECT b.a, b.b FROM b JOIN n x ON x.c = b.a JOIN n y ON y.c = b.b WHERE 5 * b.s >= 3 * (x.n + y.n - b.s)),
+        r AS (SELECT c AS node, class_key AS seed FROM k UNION SELECT e.b, r.seed FROM r JOIN e ON e.a = r.node),
+        o AS (SELECT node, min(seed) AS group_key FROM r GROUP BY node),
+        l AS (SELECT a AS c, count(*) AS links FROM e GROUP BY a)
+        SELECT pid, class_key, copies, coalesce(links, 0) AS links, group_key FROM m JOIN k USING (c) LEFT JOIN l USING (c) JOIN o ON o.node = m.c""",
     "p2_found": rf"""
         WITH RECURSIVE x AS (SELECT DISTINCT pid, regexp_replace(regexp_replace(passage_text, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM collection_passages WHERE passage_text IS NOT NULL),
         w AS (SELECT pid, regexp_extract_all(t, '[^{_WS[1:]}+') AS w, regexp_extract_all(t, '{_WS}+') AS g FROM x),

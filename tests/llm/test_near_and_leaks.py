@@ -39,12 +39,12 @@ def passages():
     return texts
 
 
-@pytest.mark.parametrize(("width", "threshold"), [(3, (3, 5)), (5, (4, 5))])
-def test_all_pairs(spark, passages, width, threshold):
+@pytest.mark.parametrize(("width", "threshold", "bucket"), [(3, (3, 5), 128), (5, (4, 5), 128), (3, (3, 5), 2)])
+def test_all_pairs(spark, passages, width, threshold, bucket):
     more = ("x",) * 5
     data = [(i, t, *more) for i, t in enumerate(passages)]
     df = spark.createDataFrame([*data, *data[:7], (None, passages[0], *more)], COLUMNS).repartition(5)
-    members, links = neardup.near_duplicates(df, "pid", "body", width=width, threshold=threshold)
+    members, links = neardup.near_duplicates(df, "pid", "body", width=width, threshold=threshold, bucket=bucket)
     got = rows(neardup.pairs_of_keys(members, links, "pid"))
     sets = {i: s for i, t in enumerate(passages) if (s := shingles(t, width))}
     want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * threshold[1] >= threshold[0] * len(sets[a] | sets[b])}
@@ -64,6 +64,24 @@ def test_a_third_of_all_rows_may_be_copies(spark):
     assert links.count() == 0 and members.count() == 600 and members.select("class").distinct().count() == 401
 
 
+def test_a_template_family_is_split(spark):
+    """Most rows are variants of one template: their A buckets are crowded, and so are some tensored ones."""
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) for _ in range(80)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for i in rng.sample(range(80), rng.randint(1, 4)):
+            w[i] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(80)]
+    members, links = neardup.near_duplicates(spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "pid long, body string").repartition(6), "pid", "body", width=3, threshold=(3, 5), bucket=20)
+    sets = [shingles(t, 3) for t in texts]
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    got = rows(neardup.pairs_of_keys(members, links, "pid"))
+    assert got <= want and len(got) >= 0.999 * len(want) > 5_000
+
+
 def test_empty_passages(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "pid long, body string"), "pid", "body")
     assert members.count() == 0 and links.count() == 0 and neardup.pairs_of_keys(members, links, "pid").count() == 0
