@@ -148,6 +148,18 @@ SQL: dict[str, str] = {
         p AS (SELECT pid, piece_no, a, CASE WHEN n - a > 200 THEN lead(a) OVER (PARTITION BY pid ORDER BY piece_no) + 19 ELSE n - 1 END AS b FROM r),
         m AS (SELECT pid, arg_max(coalesce(original_docid_chunkidx, ''), written_at) AS tag FROM passage_mapping GROUP BY pid)
         SELECT pid, CAST(piece_no AS INT) AS piece_no, CASE WHEN contains(tag, '_') THEN regexp_extract(tag, '(?s)^(.*)_[^_]*$', 1) ELSE '' END AS docid, CAST(a AS INT) AS first_word, CAST(b AS INT) AS last_word FROM p LEFT JOIN m USING (pid)""",
+    "p2_balanced": rf"""
+        WITH RECURSIVE x AS (SELECT DISTINCT pid, regexp_replace(regexp_replace(passage_text, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM collection_passages WHERE passage_text IS NOT NULL),
+        w AS (SELECT pid, regexp_extract_all(t, '[^{_WS[1:]}+') AS w, regexp_extract_all(t, '{_WS}+') AS g FROM x),
+        k AS MATERIALIZED (SELECT row_number() OVER () AS id, pid, w, g, CAST(len(w) AS BIGINT) AS n, list_transform(range(1, len(w)), lambda b: CASE WHEN len(g[b]) - len(replace(g[b], chr(10), '')) >= 2 THEN 0.0::DOUBLE WHEN regexp_matches(w[b], '[.!?…]["''”’»)\]]*$') THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END) AS price FROM w WHERE len(w) > 200),
+        v AS (
+            SELECT id, n, price, n AS a, [0.0::DOUBLE] AS least, CAST([] AS BIGINT[]) AS best FROM k
+            UNION ALL
+            SELECT id, n, price, a - 1, list_slice(list_prepend(list_min(c), least), 1, 200), list_prepend(CASE WHEN n - a + 1 <= 200 THEN 0 ELSE a - 1 + 101 + len(c) - list_position(list_reverse(c), list_min(c)) END, best) FROM
+            (SELECT *, CASE WHEN n - a + 1 <= 200 THEN [((200 - (n - a + 1)) / 200.0::DOUBLE) * ((200 - (n - a + 1)) / 200.0::DOUBLE)] ELSE list_transform(range(101, 201), lambda l: price[a - 1 + l] + ((200 - l) / 200.0::DOUBLE) * ((200 - l) / 200.0::DOUBLE) + least[l - 20]) END AS c FROM v WHERE a > 0)),
+        r AS (SELECT id, n, best, 0 AS piece_no, CAST(0 AS BIGINT) AS a FROM v WHERE a = 0 UNION ALL SELECT id, n, best, piece_no + 1, best[a + 1] - 20 FROM r WHERE n - a > 200),
+        p AS (SELECT id, piece_no, a, CASE WHEN n - a > 200 THEN best[a + 1] - 1 ELSE n - 1 END AS b FROM r)
+        SELECT DISTINCT pid, CAST(piece_no AS INT) AS piece_no, CAST(a AS INT) AS first_word, CAST(b AS INT) AS last_word, array_to_string(list_transform(range(a + 1, b + 2), lambda i: w[i] || CASE WHEN i <= b THEN g[i] ELSE '' END), '') AS piece FROM p JOIN k USING (id)""",
     "p3_found": f"""
         WITH t AS MATERIALIZED (SELECT sample_id, any_value({_UNIT}) AS u FROM training_embedding_samples WHERE sample_id IS NOT NULL AND {_FINE} GROUP BY sample_id),
         c AS MATERIALIZED (SELECT cid, {_UNIT} AS u FROM centroids WHERE {_FINE}),

@@ -31,41 +31,41 @@ def boundaries(text: str) -> tuple[list[int], list[int], np.ndarray]:
 
 
 def cut(kind: np.ndarray, most: int, least: int, overlap: int, penalties: tuple[float, float, float] | None = None, balance: float = 1.0) -> list[tuple[int, int]]:
-    """First and last word of each piece: by dynamic programming over the boundary positions where ``penalties`` are given, else greedily.
+    """First and last word of each piece, by dynamic programming over the boundary positions.
 
     A piece from word a ends before a word b with a + least < b <= a + most, and the next one starts at b - overlap; when at most
-    ``most`` words remain, the piece is the last. The value of a start is the cost of the cheapest way to cut what remains.
+    ``most`` words remain, the piece is the last. The value of a start is the cost of the cheapest way to cut what remains: the least, over
+    the boundaries b of its window, of the cut's penalty, the imbalance of the piece, and the value of b - overlap times ``discount``.
 
     ``penalties``: costs of a cut at a paragraph, sentence or other boundary; ``balance`` is the cost of an empty piece, in
-    square of the part of ``most`` that a piece lacks; the least total wins, of equal totals the longer first piece.
-    None: costs are compared cut by cut from the first on (an infinite price ratio between one cut and the next): better kind
-    of boundary first, then longer piece. As no two cuts from one start cost the same, each start's best cut is then
-    known without the values of what follows, and only starts that are used need to be solved.
+    square of the part of ``most`` that a piece lacks; there is no discount, so the least total wins; of equal totals the longer first piece.
+    None: a cut's cost is its kind of boundary first, then the words the piece lacks, as one integer below c, and the discount is 1 / (c + 1):
+    all later cuts together weigh less than the least difference of one. This is the order in which costs are compared cut by cut.
     """
     n = len(kind) - 1
     if n <= 0:
         return []
-    best: dict[int, int] = {}
-    if penalties is not None:
-        price = np.asarray(penalties, float)[kind]
-        lack = balance * (np.arange(most - least - 1, -1, -1) / most) ** 2
-        value = np.zeros(n + 1)
-        value[: max(0, n - most)] = np.inf
-        tail = np.maximum(0, np.arange(max(0, n - most), n))
+    step = most - least
+    lacking = np.arange(step - 1, -1, -1)
+    value, best = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    if penalties is None:
+        price, lack, discount = kind * float(step), lacking.astype(float), 1 / (3 * step + 1)
+    else:
+        price, lack, discount = np.asarray(penalties, float)[kind], balance * (lacking / most) ** 2, 1.0
+        tail = np.arange(max(0, n - most), n)
         value[tail] = balance * ((most - (n - tail)) / most) ** 2
-        for a in range(n - most - 1, -1, -1):
-            cost = price[a + least + 1 : a + most + 1] + lack + value[a + least + 1 - overlap : a + most + 1 - overlap]
-            k = len(cost) - 1 - int(np.argmin(cost[::-1]))
-            value[a], best[a] = cost[k], a + least + 1 + k
+    # starts closer to each other than the least piece without its overlap don't depend on each other: they are solved together
+    block = least + 1 - overlap
+    for stop in range(n - most, 0, -block):
+        first = max(0, stop - block)
+        ends = np.arange(first, stop)[:, None] + np.arange(least + 1, most + 1)
+        cost = price[ends] + lack + discount * value[ends - overlap]
+        k = step - 1 - cost[:, ::-1].argmin(1)
+        value[first:stop], best[first:stop] = cost[np.arange(stop - first), k], np.arange(first, stop) + least + 1 + k
     pieces, a = [], 0
     while n - a > most:
-        if penalties is None:
-            window = kind[a + least + 1 : a + most + 1]
-            b = a + least + 1 + len(window) - 1 - int(np.argmin(window[::-1]))
-        else:
-            b = best[a]
-        pieces.append((a, b - 1))
-        a = b - overlap
+        pieces.append((a, int(best[a]) - 1))
+        a = int(best[a]) - overlap
     return [*pieces, (a, n - 1)]
 
 

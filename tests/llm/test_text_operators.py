@@ -85,6 +85,26 @@ def test_least_total_cost(kinds):
     assert all(b2 == a1 + 1 - overlap for (_, a1), (b2, _) in zip(pieces, pieces[1:]))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=60), st.integers(0, 4))
+def test_costs_compared_cut_by_cut(kinds, overlap):
+    kind, most, least = np.array([*kinds, 2]), 8, 4
+    n = len(kind) - 1
+
+    def least_way(a):
+        """Costs of the cuts, compared in order, and pieces."""
+        if n - a <= most:
+            return (), ((a, n - 1),)
+        return min(((((int(kind[b]), most - (b - a)),) + least_way(b - overlap)[0], ((a, b - 1),) + least_way(b - overlap)[1]) for b in range(a + least + 1, a + most + 1)), key=lambda x: x[0])
+
+    if n <= 24:
+        assert tuple(splitter.cut(kind, most, least, overlap)) == least_way(0)[1]
+    pieces = splitter.cut(kind, most, least, overlap)
+    for (a, last), (a2, _) in zip(pieces, pieces[1:]):
+        b = last + 1
+        assert a2 == b - overlap and (kind[b], -b) == min((kind[x], -x) for x in range(a + least + 1, a + most + 1))
+
+
 def test_docids(spark):
     passages = spark.createDataFrame([(i, "w " * 201) for i in range(5)], "pid long, passage_text string")
     mapping = spark.createDataFrame([(0, "a_b_1", 1), (0, "c_1", 2), (1, None, 5), (1, "old_1", 1), (2, "none", 1), (3, "e__7", None)], "pid long, original_docid_chunkidx string, written_at int")
