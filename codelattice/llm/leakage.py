@@ -79,8 +79,8 @@ def document_counts(words: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out[:size], int(out[size])
 
 
-def _passages(w: np.ndarray, offsets: np.ndarray, weights: np.ndarray, length: int, rows: int = 512) -> Iterator[np.ndarray]:
-    """TF-IDF rows of unit length of a batch's passages, in blocks."""
+def _passages(w: np.ndarray, offsets: np.ndarray, weights: np.ndarray, length: int, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """TF-IDF rows of unit length of a batch's passages, in blocks of them, sparse: passage (from 0), word and value, in order of both."""
     size = len(weights)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inner = np.arange(len(w)) - offsets[:-1][doc]
@@ -88,18 +88,25 @@ def _passages(w: np.ndarray, offsets: np.ndarray, weights: np.ndarray, length: i
     new[1:] = (doc[1:] != doc[:-1]) | (inner[1:] // length != inner[:-1] // length)
     passage = np.cumsum(new) - 1
     passage, w = passage[w >= 0], w[w >= 0]
-    if not len(w):
-        return
-    for first in range(0, int(passage[-1]) + 1, rows):
+    for first in range(0, int(passage[-1]) + 1 if len(w) else 0, rows):
         a, b = np.searchsorted(passage, (first, first + rows))
-        m = np.bincount((passage[a:b] - first) * size + w[a:b], minlength=rows * size).reshape(rows, size).astype(np.float32)
-        m *= weights.astype(np.float32)
-        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
-        yield m / np.maximum(norm, 1e-12)[:, None]
+        if a == b:
+            continue
+        at, n = np.unique((passage[a:b] - first) * np.int64(size) + w[a:b], return_counts=True)
+        p, word = at // size, at % size
+        value = n * weights[word]
+        norm = np.sqrt(np.bincount(p, value * value, minlength=rows))
+        yield p, word, value / np.maximum(norm, 1e-12)[p]
+
+
+def summed(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur, which are in order, and the sum of each one's rows."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(x, first, axis=0)
 
 
 def gram_times(words: DataFrame, weights: np.ndarray, q: np.ndarray, length: int) -> np.ndarray:
-    """(A' A) q for the matrix A of all passages, by one pass over the corpus."""
+    """(A' A) q for the matrix A of all passages, by one pass over the corpus; rows of A are sparse, so a vocabulary of millions is no matter."""
     given = words.sparkSession.sparkContext.broadcast((weights, q.astype(np.float32)))
     r = q.shape[1]
 
@@ -108,8 +115,12 @@ def gram_times(words: DataFrame, weights: np.ndarray, q: np.ndarray, length: int
         z = np.zeros(q.shape)
         for b in batches:
             offsets, w = flattened(b.column(0))
-            for a in _passages(w, offsets, weights, length):
-                z += a.T @ (a @ q)
+            for p, word, value in _passages(w, offsets, weights, length):
+                v = value.astype(np.float32)[:, None]
+                seen, y = summed(p, v * q[word])
+                order = np.argsort(word, kind="stable")
+                own, part = summed(word[order], (v * y[np.searchsorted(seen, p)])[order])
+                z[own] += part
         at = np.flatnonzero(z.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), lists(np.arange(len(at) + 1) * r, pa.array(z[at].ravel(), pa.float64()))], ["w", "z"])
 
@@ -167,7 +178,7 @@ def runs(w: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     return at[fine & (text[at] == text[at + length - 1])]
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least_words: int = 10, least_cosine: float = 0.999, rank: int = RANK) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "item_text", least_words: int = 10, least_cosine: float = 0.999, rank: int = RANK, verify: bool = True) -> DataFrame:
     """Every pair of a document and an item that have at least ``least_words`` consecutive words in common: ``doc_key``, ``item_key``.
 
     A word is a maximal run of letters and digits, lower-cased. Null, empty and blank texts, items of fewer words and rows with a null
@@ -175,7 +186,8 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", d
 
     The latent space is fitted on all documents. The windows of ``least_words`` words of the items are kept by the signs of their latent
     vectors; a document's windows with the same signs and a cosine of at least ``least_cosine`` to one of them are candidates, and a candidate
-    holds if its words are the same. Windows of the same words have the same vector to the last bit, so none is missed.
+    holds if the longest common subsequence of both windows is all of their words (with ``verify`` off all candidates hold: what retrieval alone
+    gives). Windows of the same words have the same vector to the last bit, so none is missed.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_key].dataType.simpleString()
@@ -186,19 +198,16 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", d
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in own for w in ws}))}
     words = indexed(documents, doc_key, doc_text, vocabulary)
     vectors = whole_numbers(latent_space(words, len(vocabulary), rank=rank))
-    grams, keys = [], []
-    for k, ws in own:
-        ids = np.array([vocabulary[w] for w in ws], np.int32)
-        grams.append(np.lib.stride_tricks.sliding_window_view(ids, least_words))
-        keys.append(np.full(len(grams[-1]), k, np.int64))
-    grams, keys = np.concatenate(grams), np.concatenate(keys)
-    latent = vectors[grams].sum(1, dtype=np.int32)
-    codes = sign_code(latent)
+    sizes = np.array([len(ws) for _, ws in own])
+    flat = np.array([vocabulary[w] for _, ws in own for w in ws], np.int32)
+    at = runs(flat, np.cumsum(sizes), least_words)  # the items' windows are places in their words; vectors of windows are summed where they are needed
+    codes = np.concatenate([sign_code(latent_windows(vectors, flat, at[i : i + 100_000], least_words)) for i in range(0, len(at), 100_000)])
     order = np.argsort(codes, kind="stable")
-    given = spark.sparkContext.broadcast((vectors, codes[order], grams[order], keys[order], latent[order]))
+    number = np.repeat(np.arange(len(own), dtype=np.int32), sizes)[at]
+    given = spark.sparkContext.broadcast((vectors, codes[order], flat, at[order], number[order], np.array([k for k, _ in own], np.int64)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, codes, grams, keys, latent = given.value
+        vectors, codes, flat, places, number, keys = given.value
         unique, first = np.unique(codes, return_index=True)
         many = np.diff(np.concatenate((first, [len(codes)])))
         for b in batches:
@@ -216,15 +225,17 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", d
                 n = many[i[hit]]
                 mine = np.repeat(hit, n)
                 other = np.repeat(first[i[hit]], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
-                for a in range(0, len(mine), 100_000):  # in blocks, however many windows share their signs
-                    p, q = mine[a : a + 100_000], other[a : a + 100_000]
-                    u, v = x[p].astype(np.float64), latent[q].astype(np.float64)
+                for a in range(0, len(mine), 50_000):  # in blocks, however many windows share their signs
+                    p, q = mine[a : a + 50_000], other[a : a + 50_000]
+                    u, v = x[p].astype(np.float64), latent_windows(vectors, flat, places[q], least_words).astype(np.float64)
                     size = np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
                     near = np.einsum("ij,ij->i", u, v) >= least_cosine * size - 1e-9 * size
                     p, q = p[near], q[near]
-                    same = (w[s[p][:, None] + np.arange(least_words)] == grams[q]).all(1)
-                    docs.append(np.searchsorted(offsets, s[p[same]], "right") - 1)
-                    items.append(keys[q[same]])
+                    if verify:  # a common subsequence as long as both windows: the same words in the same order
+                        same = (w[s[p][:, None] + np.arange(least_words)] == flat[places[q][:, None] + np.arange(least_words)]).all(1)
+                        p, q = p[same], q[same]
+                    docs.append(np.searchsorted(offsets, s[p], "right") - 1)
+                    items.append(keys[number[q]])
             if docs:
                 pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[0])), pa.array(pairs[1], pa.int64())], [doc_key, item_key])
@@ -232,6 +243,14 @@ def leaked(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", d
     return words.mapInArrow(search, out).distinct()
 
 
+def latent_windows(vectors: np.ndarray, flat: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The latent vectors of the windows at ``places``, word by word: exact as integers, whatever else is summed with them."""
+    out = np.zeros((len(places), vectors.shape[1]), np.int32)
+    for i in range(length):
+        out += vectors[flat[places + i]]
+    return out
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence: a row of the table is one integer, whose zero bits are its steps."""
     places: dict[int, int] = {}
