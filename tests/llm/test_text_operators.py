@@ -201,13 +201,28 @@ def test_levels(spark):
     assert reading.formula_levels(odd(spark, texts).limit(0), "key", "text").count() == 0
 
 
-def test_models_learn_the_levels(spark):
+@pytest.mark.parametrize("words", [False, True])
+def test_models_learn_the_levels(spark, words):
     rng = random.Random(3)
     easy, hard = ["cat", "dog", "sun", "run", "hat"], ["elephantine", "characteristic", "notwithstanding", "bureaucracy"]
     text = lambda words: " ".join(rng.choice(words) for _ in range(30)) + "."
-    df = spark.createDataFrame([(i, text(easy) if i % 2 else text(hard), "x") for i in range(200)], "key long, text string, word string")
-    got = reading.unigram_levels(df, "key", "text", sample=60)
+    df = spark.createDataFrame([*((i, text(easy) if i % 2 else text(hard), "x") for i in range(200)), (200, None, "x"), (201, "", "x"), (202, "cat " * 19, "x"), (None, text(easy), "x")], "key long, text string, words string")
+    got = reading.unigram_levels(df, "key", "text", sample=60, words=words)
     want = {r.key: r.level for r in reading.formula_levels(df, "key", "text").collect()}
     have = {r.key: r.level for r in got.collect()}
     assert have.keys() == want.keys() and np.mean([have[k] == want[k] for k in want]) > 0.95
-    assert reading.unigram_levels(df.limit(0), "key", "text").count() == 0
+    assert got.where("posterior <= 0 or posterior > 1").count() == 0
+    assert reading.unigram_levels(df.limit(0), "key", "text", words=words).count() == 0
+    given = spark.createDataFrame([(i, 4 if i % 2 else 2) for i in range(200)], "key long, level int")
+    by_label = reading.unigram_levels(df, "key", "text", words=words, labels=given).collect()
+    assert np.mean([r.level == (4 if r.key % 2 else 2) for r in by_label if r.key is not None]) > 0.95
+
+
+def test_held_out_levels_of_the_documents(spark):
+    """Of documents not trained on, at least eight in ten get the formula's level."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.doc_id: r.level for r in reading.unigram_levels(docs, "doc_id", "text", sample=5_000).collect()}
+    want = {r.doc_id: r.level for r in reading.formula_levels(docs, "doc_id", "text").collect()}
+    h = docs.where("length(text) >= 39").selectExpr("doc_id", "xxhash64(cast(doc_id as string), text) as h").orderBy("h").collect()
+    rest = [r.doc_id for r in h[5_000:] if r.doc_id in want]
+    assert got.keys() == want.keys() and np.mean([got[k] == want[k] for k in rest]) >= 0.8
