@@ -1,9 +1,9 @@
-"""python -m codelattice passaging|indexing|searching FLAGS..., or a JSON file of them."""
+"""python -m codelattice passaging|indexing|searching|sweep FLAGS..., or a JSON file of them."""
 
 import sys
 
-from codelattice.plans.arguments import Indexing, Passaging, Searching, parse
-from codelattice.plans.pipeline import run_indexing, run_passaging, run_searching
+from codelattice.plans.arguments import Indexing, Passaging, Searching, Sweep, parse
+from codelattice.plans.pipeline import run_indexing, run_passaging, run_searching, run_sweep
 from codelattice.session import ship
 
 
@@ -22,6 +22,9 @@ def main(argv: list[str]) -> int:
         print(run.count(), "rows")
         for m, v in scores.collect() if scores is not None else []:
             print(f"{m}\t{v:.4f}")
+    elif stage == "sweep":
+        for row in run_sweep(spark, parse(Sweep, flags)):
+            print("\t".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in row.items()))
     else:
         print(__doc__)
         return 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelattice.functions.text import assemble, docid_of
 from codelattice.operators import codebook, evaluation, indexing, passages, searching
-from codelattice.operators.vectors import all_scores, best_centroids
+from codelattice.operators.vectors import Codebook, all_scores, best_centroids, matrix
 from codelattice.session import scratch_path, ship, table, write_scratch
 from codelattice.sources import readers
 
@@ -194,13 +194,18 @@ def dead_centroids(spark: SparkSession, d: str) -> DataFrame:
     return indexing.dead_centroids(_assigned(spark, d), table(spark, d, "centroids"))
 
 
+_ASKED = "SELECT CAST(v AS DOUBLE[]) AS q FROM centroids WHERE cid % 4 = 1"
+
+
 @query(f"""
-    WITH {_ASSIGNED}, e AS (SELECT sample_id, pid, round(w - 1 - s + (SELECT list_dot_product(CAST(c.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) FROM centroids c WHERE c.cid = a.cid), 6) AS error2 FROM a),
-    x AS (SELECT *, row_number() OVER (ORDER BY error2 DESC, sample_id, pid) AS r FROM e), y AS (SELECT cid, row_number() OVER (ORDER BY cid) AS r FROM centroids WHERE cid NOT IN (SELECT cid FROM a))
-    SELECT cid, sample_id, pid, error2 FROM y JOIN x USING (r)""")
+    WITH {_ASSIGNED}, x AS (SELECT a.sample_id, a.pid, a.cid, t.v, CAST(c.v AS DOUBLE[]) AS c FROM a JOIN tk t ON a.sample_id = t.sample_id AND a.pid = t.pid JOIN centroids c ON c.cid = a.cid),
+    e AS (SELECT sample_id, pid, round(sum(power(list_dot_product(q, c) - list_dot_product(q, v), 2)), 6) AS error2 FROM x CROSS JOIN ({_ASKED}) GROUP BY sample_id, pid),
+    r AS (SELECT *, row_number() OVER (ORDER BY error2 DESC, sample_id, pid) AS r FROM e), y AS (SELECT cid, row_number() OVER (ORDER BY cid) AS r FROM centroids WHERE cid NOT IN (SELECT cid FROM a))
+    SELECT cid, sample_id, pid, error2 FROM y JOIN r USING (r)""")
 def restart_plan(spark: SparkSession, d: str) -> DataFrame:
-    a = write_scratch(_assigned(spark, d))
-    return indexing.restart_plan(a, table(spark, d, "centroids"), a, ["sample_id", "pid"])
+    """The rule the trainer uses, too: the errors |Q(c - d)| by all queries, which a quarter of the centroids stand for."""
+    asked = matrix(table(spark, d, "centroids").where("cid % 4 = 1").select("v").toArrow()["v"])
+    return indexing.restart_plan(_tokens(spark, d), table(spark, d, "centroids"), ["sample_id", "pid"], asked, by="index_id")
 
 
 # -- search: every vector of embeddings is a token of a passage (eight each) and of a query (four each); labels give the codebook
@@ -242,21 +247,22 @@ class Fixture:
         means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
         rows = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
         self.centroids = write_scratch(rows.select(F.col("label").cast("int").alias("cid"), "v"))
+        self.book = Codebook(self.centroids)
         self.n_docs = self.tokens.select("pid").distinct().count()
         self.mapping = self.tokens.select("pid").distinct().select("pid", F.expr("cast(pid div 2 as string)").alias("doc_id"))
         self.labels = e.select(F.expr("vec_id div 4").alias("qid"), F.expr("vec_id div 8").alias("pid"), "vec_id", "label")
 
     def postings(self, weighted: bool) -> DataFrame:
-        return write_scratch(indexing.postings(indexing.assignments(self.tokens, self.centroids, ["pid", "tok"]), weighted=weighted))
+        return write_scratch(indexing.postings(indexing.assignments(self.tokens, self.book, ["pid", "tok"]), weighted=weighted))
 
     def first(self, nprobe: int, weighted: bool = True) -> DataFrame:
-        return searching.first_stage(searching.probes(self.queries, self.centroids, nprobe), self.postings(weighted), nprobe)
+        return searching.first_stage(searching.probes(self.queries, self.book, nprobe), self.postings(weighted), nprobe)
 
     def top(self, nprobe: int, topk: int = 20, weighted: bool = True) -> DataFrame:
         return searching.top_passages(self.first(nprobe, weighted), self.queries, self.n_docs, topk)
 
     def run(self, **options) -> DataFrame:
-        return searching.search(self.queries, self.centroids, self.postings(True), self.n_docs, self.mapping, **options)
+        return searching.search(self.queries, self.book, self.postings(True), self.n_docs, self.mapping, **options)
 
     def qrels(self) -> DataFrame:
         """The label asked for is that of a query's first token; a document's relevance is its number of tokens of that label."""
@@ -268,7 +274,7 @@ class Fixture:
 @query(f"WITH {_SEARCH} SELECT qid, tok, cid, round(s, 6) AS score FROM cs")
 def centroid_scores(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
-    return all_scores(f.queries, f.centroids, ["qid", "tok"]).withColumn("score", F.round("score", 6))
+    return all_scores(f.queries, f.book, ["qid", "tok"]).withColumn("score", F.round("score", 6))
 
 
 def _probe_sql(n: int) -> str:
@@ -278,7 +284,7 @@ def _probe_sql(n: int) -> str:
 def _probe(n: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = Fixture(spark, d)
-        return searching.probes(f.queries, f.centroids, n).withColumn("score", F.round("score", 6))
+        return searching.probes(f.queries, f.book, n).withColumn("score", F.round("score", 6))
 
     run.__name__ = f"probe_np{n}"
     return run
@@ -306,7 +312,7 @@ def first_stage_padded(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_stages(4)} SELECT qid, pid, round(sc, 6) AS score FROM rr")
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
-    return searching.rerank(f.top(4), f.postings(True), f.queries, f.centroids).withColumn("score", F.round("score", 6))
+    return searching.rerank(f.top(4), f.postings(True), f.queries, f.book).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_stages(4)}, {_pooled('top', 100)} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM run")
@@ -336,14 +342,14 @@ def _run_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT qid, CAST(rank AS INT) AS rank, qid || ' 0 ' || did || ' ' || CAST(rank AS VARCHAR) || ' ' || printf('%.6f', s) || ' ' || run_id AS line FROM
+    SELECT qid, CAST(rank AS INT) AS rank, qid || ' 0 ' || did || ' ' || CAST(rank AS VARCHAR) || ' ' || CAST(s AS VARCHAR) || ' ' || run_id AS line FROM
     (SELECT *, row_number() OVER (PARTITION BY run_id, qid ORDER BY s DESC, did) AS rank FROM ({_RUN_ROWS})) WHERE rank <= 1000""")
 def trec_run_lines(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.run_lines(_run_rows(spark, d))
 
 
 @query(f"""
-    SELECT qid, did AS doc_id, CAST(printf('%.6f', s) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, qid ORDER BY s DESC, did) AS rank FROM ({_RUN_ROWS})) WHERE rank <= 1000 AND NOT regexp_matches(qid || did || run_id, '\\s')""")
+    SELECT qid, did AS doc_id, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY run_id, qid ORDER BY s DESC, did) AS rank FROM ({_RUN_ROWS})) WHERE rank <= 1000 AND NOT regexp_matches(qid || did || run_id, '\\s')""")
 def trec_run_parse(spark: SparkSession, d: str) -> DataFrame:
     """Lines written to files and read back."""
     path = scratch_path(spark)
@@ -364,7 +370,7 @@ _QRELS = """
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
-    run = f.run(nprobe=4, topk=20).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    run = write_scratch(f.run(nprobe=4, topk=20).select("qid", "doc_id", F.round("score", 6).alias("score")))
     return evaluation.per_query(run, f.qrels(), ("nDCG@10", "P@10", "R@1000"), relevant=2)
 
 
@@ -375,7 +381,9 @@ def metrics_per_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_stages(4)}, {_pooled('rr', 100)}, {_QRELS} SELECT metric, round(CAST(avg(value) AS DOUBLE), 6) AS value FROM l GROUP BY metric")
 def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _values(spark, d).groupBy("metric").agg(F.round(F.avg("value"), 6).alias("value"))
+    f = Fixture(spark, d)
+    run = write_scratch(f.run(nprobe=4, topk=20).select("qid", "doc_id", F.round("score", 6).alias("score")))
+    return evaluation.mean_metrics(run, f.qrels(), ("nDCG@10", "P@10", "R@1000"), relevant=2).withColumn("value", F.round("value", 6))
 
 
 # -- training
@@ -383,7 +391,7 @@ def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SEARCH}, ex AS (SELECT tok, cid, exp(s / 0.1) AS x FROM cs), tot AS (SELECT tok, sum(x) AS t FROM ex GROUP BY tok) SELECT tok, cid, round(x / t, 6) AS p FROM ex JOIN tot USING (tok)")
 def soft_assignment(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
-    s = all_scores(f.queries, f.centroids, ["qid", "tok"]).withColumn("x", F.exp(F.col("score") / 0.1))
+    s = all_scores(f.queries, f.book, ["qid", "tok"]).withColumn("x", F.exp(F.col("score") / 0.1))
     return s.select("tok", "cid", F.round(F.col("x") / F.sum("x").over(Window.partitionBy("tok")), 6).alias("p"))
 
 

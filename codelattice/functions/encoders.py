@@ -31,6 +31,71 @@ class HashEncoder:
         return v / np.sqrt((v * v).sum())
 
 
+class OnnxEncoder:
+    """Token vectors of an exported model: ``model`` is an ONNX file, ``tokenizer`` a tokenizer file; both are opened by each worker, once.
+
+    The model takes ``input_ids`` and ``attention_mask`` and gives one vector for each token; vectors get length 1 unless ``normalise`` is off.
+    Texts are cut to ``length`` tokens (queries to ``query_length``, and filled up to it with ``fill`` if that is given); ``prefix`` and ``query_prefix`` come first.
+    """
+
+    def __init__(self, model: str, tokenizer: str, *, length: int = 300, query_length: int = 32, fill: int | None = None, prefix: str = "", query_prefix: str = "", batch: int = 32, normalise: bool = True):
+        self.model, self.tokenizer, self.length, self.query_length, self.fill = model, tokenizer, length, query_length, fill
+        self.prefix, self.query_prefix, self.batch, self.normalise = prefix, query_prefix, batch, normalise
+        self._open = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": None}
+
+    def _opened(self):
+        if self._open is None:
+            import onnxruntime
+            import tokenizers
+
+            self._open = onnxruntime.InferenceSession(self.model), tokenizers.Tokenizer.from_file(self.tokenizer)
+        return self._open
+
+    def encode(self, texts: list[str], *, is_query: bool = False) -> list[np.ndarray]:
+        session, tokenizer = self._opened()
+        most, prefix, out = (self.query_length, self.query_prefix, []) if is_query else (self.length, self.prefix, [])
+        for at in range(0, len(texts), self.batch):
+            ids = [e.ids[:most] for e in tokenizer.encode_batch([prefix + t for t in texts[at : at + self.batch]])]
+            if is_query and self.fill is not None:
+                ids = [x + [self.fill] * (most - len(x)) for x in ids]
+            width = max([1, *map(len, ids)])
+            given = np.zeros((len(ids), width), np.int64)
+            mask = np.zeros((len(ids), width), np.int64)
+            for i, x in enumerate(ids):
+                given[i, : len(x)], mask[i, : len(x)] = x, 1
+            vectors = session.run(None, {"input_ids": given, "attention_mask": mask})[0]
+            for v, x in zip(vectors, ids, strict=True):  # what was filled up for the batch is no token
+                v = np.asarray(v[: len(x)], np.float32)
+                out.append(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12) if self.normalise else v)
+        return out
+
+
+class FileTokenizer:
+    """A tokenizer file as what passaging needs: ids of texts without special tokens, and the text of ids. Opened by each worker, once."""
+
+    def __init__(self, path: str):
+        self.path, self._open = path, None
+
+    def __getstate__(self):
+        return {"path": self.path, "_open": None}
+
+    def _opened(self):
+        if self._open is None:
+            import tokenizers
+
+            self._open = tokenizers.Tokenizer.from_file(self.path)
+        return self._open
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._opened().encode_batch(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        return self._opened().decode(ids)
+
+
 def encode(df: DataFrame, key: str, text: str, encoder: TokenEncoder, *, is_query: bool = False) -> DataFrame:
     """(``key``, tok, v): a row for each token of each text. Null texts have none. The encoder is sent to the workers."""
     kind = df.schema[key].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelattice.session import write_scratch
+from codelattice.session import drop_scratch, write_scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str, b: str, *, most_rounds: int =
     now = write_scratch(now.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
-        now = write_scratch(_small_star(_large_star(now)))
+        last, now = now, write_scratch(_small_star(_large_star(now)))
+        drop_scratch(last)
         state = now.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

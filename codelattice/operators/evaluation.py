@@ -11,11 +11,13 @@ DEFAULT_METRICS = ("nDCG@10", "nDCG@20", "P@10", "R@1000")
 
 
 def run_lines(run: DataFrame, run_id: str | None = None, topk: int = 1000) -> DataFrame:
-    """(qid, rank, line): the ``topk`` best documents of each query as ``qid 0 docid rank score run_id``; ``run`` has qid, doc_id, score (and run_id)."""
+    """(qid, rank, line): the ``topk`` best documents of each query as ``qid 0 docid rank score run_id``; ``run`` has qid, doc_id, score (and run_id).
+
+    Scores are written with all their digits, so that what is read back ranks and ties as the run does."""
     rid = F.lit(run_id) if run_id is not None else F.col("run_id")
     w = Window.partitionBy("qid", *([] if run_id is not None else ["run_id"])).orderBy(F.col("score").desc(), "doc_id")
     ranked = run.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk)
-    line = F.concat_ws(" ", "qid", F.lit("0"), "doc_id", F.col("rank").cast("string"), F.format_string("%.6f", "score"), rid)
+    line = F.concat_ws(" ", "qid", F.lit("0"), "doc_id", F.col("rank").cast("string"), F.col("score").cast("double").cast("string"), rid)
     return ranked.select("qid", "rank", line.alias("line"))
 
 

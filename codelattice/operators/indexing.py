@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.operators.vectors import best_centroids
+from codelattice.operators.vectors import Codebook, as_codebook, best_centroids, matrix
+from codelattice.session import write_scratch
 
 
 def sample_size(n_passages: int, doclen: float = 120, given: int | None = None) -> int:
@@ -16,8 +20,29 @@ def sample_size(n_passages: int, doclen: float = 120, given: int | None = None)
 
 
 def sample_exactly(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), those of the smallest md5 of key and seed: the same on every run."""
-    return df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))).orderBy("_h", key).limit(n).drop("_h")
+    """Exactly ``n`` rows (all, if there are fewer), those of the smallest md5 of key and seed: the same on every run.
+
+    Only counts of hashes by their first digits reach the driver, until the hash of the n-th row is found among a few; the rows are then
+    chosen by a filter, so nothing but rows of one and the same key as the n-th is ever put in order.
+    """
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    hashed, prefix, left = df.withColumn("_h", h), "", n
+    if n < 1:
+        return df.limit(0)
+    while len(prefix) < 32:
+        within = hashed.where(F.col("_h").startswith(prefix)) if prefix else hashed
+        counts = within.groupBy(F.substring("_h", 1, len(prefix) + 3).alias("p")).count().orderBy("p").collect()  # 4,096 rows at most
+        for r in counts:
+            if r["count"] >= left:
+                prefix = r.p
+                break
+            left -= r["count"]
+        else:
+            return df  # fewer than n rows in all
+        if r["count"] == left:
+            return hashed.where(F.substring("_h", 1, len(prefix)) <= prefix).drop("_h")
+    before, same = hashed.where(F.col("_h") < prefix), hashed.where(F.col("_h") == prefix)
+    return before.union(same.orderBy(key).limit(left)).drop("_h")  # repeated rows of one key
 
 
 def training_queries(df: DataFrame, text: str, most: int = 8192) -> DataFrame:
@@ -31,7 +56,7 @@ def training_queries(df: DataFrame, text: str, most: int = 8192) -> DataFrame:
     return dense_ids(texts.withColumn("_u", F.monotonically_increasing_id()), ["text", "_u"], "rank").where(F.col("rank") % stride == 0).select("rank", "text")
 
 
-def assignments(vectors: DataFrame, centroids: DataFrame, keys: list[str], *, by: str | None = None) -> DataFrame:
+def assignments(vectors: DataFrame, centroids: DataFrame | Codebook, keys: list[str], *, by: str | None = None) -> DataFrame:
     """The centroid of each vector, its score, and the weight v · (v - c) + 1."""
     best = best_centroids(vectors, centroids, keys, 1, by=by)
     return best.select(*keys, "cid", "score", (F.col("norm2") - F.col("score") + 1).alias("w"))
@@ -96,16 +121,36 @@ def dead_centroids(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     return centroids.select("cid").join(assigned.select("cid").distinct(), "cid", "left_anti")
 
 
-def restart_plan(assigned: DataFrame, centroids: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Which vector replaces each centroid that nothing was assigned to: the vectors of the largest error |v - c|, in turn.
+def restart_plan(vectors: DataFrame, centroids: DataFrame | Codebook, keys: list[str], queries: np.ndarray, *, by: str | None = None) -> DataFrame:
+    """Which vector replaces each centroid that nothing was assigned to: the vectors of the largest error |Q(c - d)|, in turn.
 
-    Ties go to the smaller key. There are at most as many rows as dead centroids; both sides are ranked after a top-k.
+    ``queries`` is the matrix Q, all training queries or a sample, d a vector and c its centroid. Columns: cid, ``keys``, error2 (the square,
+    rounded to 6 decimals). Ties go to the smaller key. The errors are made beside the vectors, in one pass; at most as many rows as
+    there are dead centroids are ranked.
     """
-    dead = dead_centroids(assigned, centroids)
+    book = as_codebook(centroids, by)
+    spark = vectors.sparkSession
+    given = spark.sparkContext.broadcast(np.asarray(queries, np.float64))
+    best = best_centroids(vectors.withColumn("_v", F.col("v")), book, [*keys, "_v"], by=by)
+    fields = ", ".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}" for k in keys)
+
+    def error(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                cids = part.column(len(keys) + 1).to_numpy()
+                own = np.unique(cids)
+                c = np.zeros((len(own), book.dim))
+                for name in {x for block in book.blocks for x in block.value}:
+                    c += book.vectors(own, name)
+                e = (((c[np.searchsorted(own, cids)] - matrix(part.column(len(keys)))) @ given.value.T) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], part.column(len(keys) + 1), pa.array(np.round(e, 6))], [*keys, "cid", "error2"])
+
+    rated = write_scratch(best.select(*keys, "_v", "cid").mapInArrow(error, f"{fields}, cid int, error2 double"))
+    used = rated.select("cid").distinct()
+    every = centroids.select("cid") if isinstance(centroids, DataFrame) else spark.createDataFrame([(int(c),) for x in book.load() for cids, _ in x.values() for c in cids], "cid int")
+    dead = every.join(used, "cid", "left_anti")
     n = dead.count()
-    # |v - c|^2 = v·v - 2 v·c + c·c, with v·v - v·c = w - 1
-    c = centroids.select("cid", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("cc"))
-    error = assigned.join(c, "cid").select(*keys, F.round(F.col("w") - 1 - F.col("score") + F.col("cc"), 6).alias("error2"))
-    worst = error.orderBy(F.col("error2").desc(), *keys).limit(n)
+    worst = rated.orderBy(F.col("error2").desc(), *keys).limit(n).drop("cid")
     worst = worst.withColumn("r", F.row_number().over(Window.orderBy(F.col("error2").desc(), *keys)))
     return dead.withColumn("r", F.row_number().over(Window.orderBy("cid"))).join(worst, "r").select("cid", *keys, "error2")

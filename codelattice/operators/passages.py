@@ -42,9 +42,10 @@ def passages(documents: DataFrame, key: str, bodies: list[str], *, title: str |
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "pid") -> DataFrame:
-    """Numbers 0, 1, 2, ... in the order of ``order`` (which must be unique): ranges, their counts, and a row number within each range."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    kept = write_scratch(ranged)  # the ranges must stay as they are, however often they are read
+    """Numbers 0, 1, 2, ... in the order of ``order`` (which must be unique): one shuffle into ranges, whose rows are numbered as they are
+    written, and the numbers of rows in the ranges before, a row for each partition."""
+    inner = F.monotonically_increasing_id()  # the partition in the upper bits, the row within it in the lower 33
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = write_scratch(ranged.select("*", F.shiftrightunsigned(inner, 33).cast("int").alias("_part"), inner.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")))
     counts = kept.groupBy("_part").count().select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return kept.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + own - 1).drop("_part", "_before")  # one row for each partition
+    return kept.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_before", "_row")

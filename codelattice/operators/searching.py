@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelattice.operators.indexing import forward
-from codelattice.operators.vectors import best_centroids, codebook_blocks
+from codelattice.operators.vectors import Codebook, as_codebook, best_centroids
 
 
-def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+def probes(queries: DataFrame, centroids: DataFrame | Codebook, nprobe: int) -> DataFrame:
     """(qid, tok, cid, score): the ``nprobe`` best centroids of each query token (qid, tok, v)."""
     return best_centroids(queries, centroids, ["qid", "tok"], nprobe).select("qid", "tok", "cid", "score")
 
@@ -21,12 +20,13 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
 def first_stage(probed: DataFrame, posts: DataFrame, nprobe: int) -> DataFrame:
     """(qid, pid, score) of every passage with a probed centroid: per token the largest weight times score, summed over the tokens.
 
-    A token's maximum includes an implicit 0 unless the passage holds all of the token's probes.
+    A token's maximum includes an implicit 0 unless the passage holds all of the token's probes. One shuffle by (qid, pid) serves both
+    group-bys: rows of a token and a passage stem from different centroids, so combining before it would hardly make them fewer.
     """
-    hit = probed.join(posts, "cid").select("qid", "tok", "pid", (F.col("w") * F.col("score")).alias("x"))
+    hit = probed.join(posts, "cid").select("qid", "tok", "pid", (F.col("w") * F.col("score")).alias("x")).repartition("qid", "pid")
     full = F.count("*") == nprobe
     best = hit.groupBy("qid", "pid", "tok").agg(F.when(full, F.max("x")).otherwise(F.greatest(F.max("x"), F.lit(0.0))).alias("m"))
-    return best.groupBy("qid", "pid").agg(F.sum("m").alias("score"))  # clustered by (qid, pid, tok): a second shuffle unless that is met by (qid, pid)
+    return best.groupBy("qid", "pid").agg(F.sum("m").alias("score"))
 
 
 def top_passages(scored: DataFrame, queries: DataFrame, n_docs: int, topk: int) -> DataFrame:
@@ -44,36 +44,33 @@ def top_passages(scored: DataFrame, queries: DataFrame, n_docs: int, topk: int)
     return every.withColumn("rank", rank).where(F.col("rank") <= topk)
 
 
-def rerank(short: DataFrame, posts: DataFrame, queries: DataFrame, centroids: DataFrame) -> DataFrame:
+def rerank(short: DataFrame, posts: DataFrame, queries: DataFrame, centroids: DataFrame | Codebook) -> DataFrame:
     """(qid, pid, score) of short-listed passages: the sum over tokens of the best score of any of the passage's centroids.
 
     Weights don't matter, all centroids count (not only probed ones), and there is no floor of 0. Passages without codes drop out.
-    Scores are made only for the centroids of short-listed passages, in Arrow batches; the codebook goes out in one block, whose size is checked.
+    ``posts`` is best the layout clustered by passage; only short-listed passages' rows of it are shuffled. Scores are made for the
+    centroids of short-listed passages alone, whose vectors each worker gathers from the codebook's blocks.
     """
-    blocks = codebook_blocks(centroids)
-    spark = short.sparkSession
+    book, spark = as_codebook(centroids), short.sparkSession
     out = f"qid {short.schema['qid'].dataType.simpleString()}, pid long, score double"
-    if not blocks:
+    if not book.blocks:
         return spark.createDataFrame([], out)
-    codes = forward(posts.select("pid", "cid", "w")).select("pid", F.col("codes.cid").alias("cids"))
+    listed = short.select("qid", F.col("pid").cast("long").alias("pid"))
+    codes = posts.select(F.col("pid").cast("long").alias("pid"), "cid").join(listed.select("pid").distinct(), "pid", "left_semi")
+    codes = codes.groupBy("pid").agg(F.array_sort(F.collect_set("cid")).alias("cids"))
     asked = queries.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("tok", "v"))).alias("t")).select("qid", F.col("t.v").alias("q"))
-    rows = short.select("qid", "pid").join(codes, "pid").join(asked, "qid").select("qid", F.col("pid").cast("long"), "cids", "q")
-    if len(blocks) > 1:  # too large to send at once: scores by a join on the centroid
-        from codelattice.operators.vectors import all_scores
-
-        s = all_scores(queries, centroids, ["qid", "tok"])
-        each = short.select("qid", "pid").join(posts, "pid").join(s, ["qid", "cid"]).groupBy("qid", "pid", "tok").agg(F.max("score").alias("m"))
-        return each.groupBy("qid", F.col("pid").cast("long").alias("pid")).agg(F.sum("m").alias("score"))
-    given = spark.sparkContext.broadcast(blocks[0][""])
+    rows = listed.join(codes, "pid").join(asked, "qid").select("qid", "pid", "cids", "q")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, c = given.value
-        for b in batches:
-            out = []
-            for own, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                at = np.searchsorted(cids, own)
-                out.append(float(np.round(np.asarray(q, np.float64) @ c[at].T, 9).max(1).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["qid", "pid", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                lists = [np.array(x) for x in b.column(2).to_pylist()]
+                cids = np.unique(np.concatenate(lists))
+                c, values = book.vectors(cids), []
+                for own, q in zip(lists, b.column(3).to_pylist(), strict=True):
+                    values.append(float(np.round(np.asarray(q, np.float64) @ c[np.searchsorted(cids, own)].T, 9).max(1).sum()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], ["qid", "pid", "score"])
 
     return rows.mapInArrow(score, out)
 
@@ -89,8 +86,9 @@ def pool(scored: DataFrame, mapping: DataFrame | None, limit: int | None = 100)
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
-def search(queries: DataFrame, centroids: DataFrame, posts: DataFrame, n_docs: int, mapping: DataFrame | None = None, *, nprobe: int = 1, topk: int = 1000, use_forward: bool = True, limit: int = 100) -> DataFrame:
-    """The whole search as one plan, for any number of queries."""
-    top = top_passages(first_stage(probes(queries, centroids, nprobe), posts, nprobe), queries, n_docs, topk)
-    scored = rerank(top, posts, queries, centroids) if use_forward else top
+def search(queries: DataFrame, centroids: DataFrame | Codebook, posts: DataFrame, n_docs: int, mapping: DataFrame | None = None, *, nprobe: int = 1, topk: int = 1000, use_forward: bool = True, limit: int = 100, forward_posts: DataFrame | None = None) -> DataFrame:
+    """The whole search as one plan, for any number of queries. ``posts`` is best clustered by centroid, ``forward_posts`` by passage."""
+    book = as_codebook(centroids)
+    top = top_passages(first_stage(probes(queries, book, nprobe), posts, nprobe), queries, n_docs, topk)
+    scored = rerank(top, forward_posts if forward_posts is not None else posts, queries, book) if use_forward else top
     return pool(scored.select("qid", "pid", "score"), mapping, limit)

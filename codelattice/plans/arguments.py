@@ -33,6 +33,7 @@ class Passaging:
     length: int = 180
     stride: int = 90
     lower: bool = False
+    tokenizer: str | None = None
     overwrite: bool = False
 
 
@@ -43,7 +44,7 @@ class Indexing(Common):
     training_queries: str | None = None
     max_n_queries: int = 8192
     reinit_centroids_at_end_of_epoch: bool = False
-    training_embedding_samples: str | None = None
+    training_embedding_samples: list[str] | None = None
     init_centroids: str | None = None
     n_sample_embeddings: int | None = None
     n_centroids: int | None = None
@@ -56,6 +57,13 @@ class Indexing(Common):
     final_temperature: float = 0.01
     temperature_anneal_steps: int | None = None
     max_steps: int = 1000
+    per_device_train_batch_size: int = 256
+    learning_rate: float = 1e-2
+    weight_decay: float = 0.0
+    max_grad_norm: float = 1.0
+    warmup_steps: int = 0
+    save_steps: int = 500
+    driver_rows: int = 500_000
     clean_up_samples: bool = False
     retrain_centroids: bool = False
     do_sampling_only: bool = False
@@ -69,11 +77,24 @@ class Indexing(Common):
 
     def __post_init__(self) -> None:
         if sum((self.resume, self.retrain_centroids, self.do_sampling_only, self.do_merging_only)) > 1:
-            raise ValueError("at most one of resume, retrain_centroids, do_sampling_only and do_merging_only can be set")
+            raise ValueError("resume, retrain_centroids, do_sampling_only and do_merging_only exclude each other")
         if (self.with_kmeans_objective or self.entropy_regularization) and not self.use_soft_assignment:
             raise ValueError("the k-means objective and the entropy term need use_soft_assignment")
 
 
+@dataclass
+class Sweep(Common):
+    """A search for each number of probes, with and without the rerank: see :func:`codelattice.plans.pipeline.run_sweep`."""
+
+    queries: str = ""
+    qrels: str | None = None
+    metrics: list[str] = field(default_factory=lambda: ["nDCG@10", "nDCG@20", "P@10", "R@1000"])
+    nprobes: list[int] = field(default_factory=lambda: [2, 4, 8, 16])
+    topk: int = 1000
+    limit: int = 100
+    output: str | None = None
+
+
 @dataclass
 class Searching(Common):
     queries: str = ""
@@ -102,6 +123,7 @@ def parse(kind: type[A], argv: list[str]) -> A:
     parser, hints = argparse.ArgumentParser(prog=kind.__name__.lower()), get_type_hints(kind)
     for x in fields(kind):
         t = hints[x.name]
+        t = next((a for a in get_args(t) if a is not type(None)), t) if type(None) in get_args(t) else t
         many = getattr(t, "__origin__", None) is list
         base = get_args(t)[0] if get_args(t) else t
         default = x.default_factory() if x.default is MISSING else x.default

@@ -79,14 +79,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def write_scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: its lineage is cut, and a lost executor costs nothing."""
+def write_scratch(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder (in a folder for each ``by``) and read it back: its lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete what :func:`write_scratch` wrote, before the driver ends; nothing may read it any more."""
+    roots = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for path in roots:
+        if "/codelattice-" in path:
+            _delete(df.sparkSession, path)
+
+
 def hint_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (it must be cheap to count, such as a scratch table)."""
     return F.broadcast(df) if df.count() <= limit else df

@@ -2,21 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import chain, islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions.text import docid_of
 from codelattice.operators.evaluation import parse_run
+from codelattice.session import scratch_path
 
-_registered: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Reader = Callable[[SparkSession, str], DataFrame]
+_registered: dict[str, dict[str, Reader]] = {}
 
 
-def register_source(prefix: str, reader: Callable[[SparkSession, str], DataFrame]) -> None:
-    """Makes ``prefix:...`` readable by :func:`read_documents`, such as a reader of a public collection that needs a library or a network."""
-    _registered[prefix] = reader
+def register_source(prefix: str, reader: Reader | None = None, *, queries: Reader | None = None, qrels: Reader | None = None) -> None:
+    """Makes ``prefix:...`` readable: documents by :func:`read_documents`, queries (qid, text) and judgements (qid, doc_id, relevance) by theirs."""
+    given = {"documents": reader, "queries": queries, "qrels": qrels}
+    _registered[prefix] = _registered.get(prefix, {}) | {k: r for k, r in given.items() if r is not None}
+
+
+def _source(spec: str, kind: str) -> tuple[Reader, str] | None:
+    prefix, _, rest = spec.partition(":")
+    own = _registered.get(prefix, {})
+    return (own[kind], rest) if rest and kind in own else None
+
+
+def _in_parts(spark: SparkSession, rows: Iterable[dict], schema: str, per: int = 50_000) -> DataFrame:
+    """Rows that a library gives one by one, put as JSON lines into the shared folder, some at a time, and read from there."""
+    from codelattice.sources.sinks import write_text
+
+    path, rows, n = scratch_path(spark), iter(rows), 0
+    while part := list(islice(rows, per)):
+        write_text(spark, f"{path}/part-{n:06d}.json", "\n".join(json.dumps(r, default=str) for r in part))
+        n += 1
+    return spark.read.schema(schema).json(path) if n else spark.createDataFrame([], schema)
+
+
+def _library(name: str):
+    try:
+        return importlib.import_module(name)
+    except ImportError as e:
+        raise ImportError(f"this source needs the package {name}, or a reader given to register_source") from e
+
+
+def _collection_documents(spark: SparkSession, name: str) -> DataFrame:
+    docs = _library("ir_datasets").load(name)
+    rows = (d._asdict() for d in docs.docs_iter())
+    first = next(rows, None)
+    names = list(first) if first else ["doc_id", "text"]
+    return _in_parts(spark, chain([first] if first else [], rows), ", ".join(f"`{n}` string" for n in names))
+
+
+def _collection_queries(spark: SparkSession, name: str) -> DataFrame:
+    rows = ({"qid": q.query_id, "text": q.default_text() if hasattr(q, "default_text") else q.text} for q in _library("ir_datasets").load(name).queries_iter())
+    return _in_parts(spark, rows, "qid string, text string")
+
+
+def _collection_qrels(spark: SparkSession, name: str) -> DataFrame:
+    rows = ({"qid": q.query_id, "doc_id": q.doc_id, "relevance": q.relevance} for q in _library("ir_datasets").load(name).qrels_iter())
+    return _in_parts(spark, rows, "qid string, doc_id string, relevance int")
+
+
+def _hub_documents(spark: SparkSession, name: str) -> DataFrame:
+    """A split of a dataset on a hub; without one in the name the repository must have exactly one."""
+    spec, library = parse_hub_spec(name), _library("datasets")
+    split = spec.split
+    if split is None:
+        found = library.get_dataset_split_names(spec.repo, spec.config or None)
+        if len(found) != 1:
+            raise ValueError(f"{name} has the splits {', '.join(found)}: name one")
+        split = found[0]
+    rows = iter(library.load_dataset(spec.repo, spec.config or None, split=split, streaming=True))
+    first = next(rows, None)
+    names = list(first) if first else ["id", "text"]
+    return _in_parts(spark, chain([first] if first else [], rows), ", ".join(f"`{n}` string" for n in names))
 
 
 @dataclass(frozen=True)
@@ -51,11 +114,10 @@ def malformed_lines(spark: SparkSession, paths: list[str]) -> int:
 
 def read_documents(spark: SparkSession, corpus: list[str], schema: str) -> DataFrame:
     """The first path decides: a registered prefix (then it must be the only one), else globs of JSON lines."""
-    prefix, _, rest = corpus[0].partition(":")
-    if prefix in _registered:
+    if given := _source(corpus[0], "documents"):
         if len(corpus) != 1:
             raise ValueError("exactly one collection can be read from a registered source")
-        return _registered[prefix](spark, rest)
+        return given[0](spark, given[1])
     return read_json_lines(spark, corpus, schema)
 
 
@@ -71,16 +133,21 @@ def read_passages(spark: SparkSession, path: str | list[str], *, pid_type: str =
 
 
 def read_collection(spark: SparkSession, paths: list[str], id_field: str = "id", text_fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    """(pid, text) of JSON lines without a mapping: texts are joined by one space; a null field raises."""
+    """(pid, text) of JSON lines without a mapping: texts are joined by one space; a null id or field raises."""
     names = list(dict.fromkeys([id_field, *text_fields]))
     rows = read_json_lines(spark, paths, ", ".join(f"`{n}` string" for n in names))
-    fields = [F.when(F.col(n).isNotNull(), F.col(n)).otherwise(F.raise_error(F.lit(f"a row has no {n}"))) for n in text_fields]
-    return rows.select(F.col(id_field).alias("pid"), F.concat_ws(" ", *fields).alias("text"))
+    def there(n: str) -> Column:
+        return F.when(F.col(n).isNotNull(), F.col(n)).otherwise(F.raise_error(F.lit(f"a row has no {n}")))
+
+    return rows.select(there(id_field).alias("pid"), F.concat_ws(" ", *map(there, text_fields)).alias("text"))
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, text) of lines with exactly two fields; of a repeated qid the last line of the last file holds."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.split(F.trim("value"), "\t").alias("f"))
+def read_queries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(qid, text) of lines with exactly two fields, or of a registered source; of a repeated qid the last line of the last file (by name) holds."""
+    if isinstance(path, str) and (given := _source(path, "queries")):
+        return given[0](spark, given[1])
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select(place.alias("n"), F.split(F.trim("value"), "\t").alias("f"))
     lines = lines.select("n", F.when(F.size("f") == 2, F.col("f")).otherwise(F.raise_error(F.lit("a query line needs two fields"))).alias("f"))
     return last_wins(lines.select("n", F.col("f")[0].alias("qid"), F.col("f")[1].alias("text")), "qid", "n").drop("n")
 
@@ -103,7 +170,9 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, doc_id, relevance) of lines ``qid 0 docid relevance``."""
+    """(qid, doc_id, relevance) of lines ``qid 0 docid relevance``, or of a registered source."""
+    if given := _source(path, "qrels"):
+        return given[0](spark, given[1])
     f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     return spark.read.text(path).select(f.alias("f")).where(F.size("f") == 4).select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("doc_id"), F.col("f")[3].cast("int").alias("relevance"))
 
@@ -116,3 +185,7 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
 
 def count_rows(df: DataFrame, known: int | None = None) -> int:
     return known if known is not None else df.count()
+
+
+register_source("irds", _collection_documents, queries=_collection_queries, qrels=_collection_qrels)
+register_source("hfds", _hub_documents)

@@ -1,14 +1,17 @@
 import gzip
 import json
+import pickle
+import sys
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codelattice.operators import evaluation
+from codelattice.operators import codebook, evaluation
 from codelattice.operators.components import connected_components
-from codelattice.plans.arguments import Indexing, Passaging, Searching, parse
-from codelattice.plans.pipeline import run_indexing, run_passaging, run_searching
+from codelattice.plans.arguments import Indexing, Passaging, Searching, Sweep, parse
+from codelattice.plans.pipeline import run_indexing, run_passaging, run_searching, run_sweep
 from codelattice.plans.planner import Present, Stages, number_of_centroids, plan
 from codelattice.session import write_scratch
 from codelattice.sources import readers, sinks
@@ -36,6 +39,74 @@ def test_sources(spark):
         readers.parse_hub_spec("repo")
 
 
+class Made:
+    """Stands for the libraries of public collections, which aren't here."""
+
+    def __init__(self, **parts):
+        self.__dict__ |= parts
+
+
+def test_collections_of_libraries(spark, monkeypatch):
+    from collections import namedtuple
+
+    doc, query, judged = namedtuple("D", "doc_id title text"), namedtuple("Q", "query_id text"), namedtuple("J", "query_id doc_id relevance")
+    docs = [doc(f"d{i}", None if i % 2 else "t", f"text {i}") for i in range(7)]
+    one = Made(docs_iter=lambda: iter(docs), queries_iter=lambda: iter([query("1", "a b")]), qrels_iter=lambda: iter([judged("1", "d3", 2)]))
+    monkeypatch.setitem(sys.modules, "ir_datasets", Made(load=lambda name: one))
+    got = readers.read_documents(spark, ["irds:made/up"], "ignored string")
+    assert rows(got.select("doc_id", "title", "text")) == {tuple(d) for d in docs}
+    assert rows(readers.read_queries(spark, "irds:made/up")) == {("1", "a b")} and rows(readers.read_qrels(spark, "irds:made/up")) == {("1", "d3", 2)}
+    asked = []
+    splits = {"org/one": ["train"], "org/two": ["train", "test"]}
+    library = Made(get_dataset_split_names=lambda repo, config: splits[repo], load_dataset=lambda repo, config, split, streaming: asked.append((repo, config, split)) or iter([{"id": "1", "text": "x"}]))
+    monkeypatch.setitem(sys.modules, "datasets", library)
+    assert rows(readers.read_documents(spark, ["hfds:org/one:conf"], "")) == {("1", "x")}
+    assert rows(readers.read_documents(spark, ["hfds:org/two:conf/test"], "")) == {("1", "x")}
+    assert asked == [("org/one", "conf", "train"), ("org/two", "conf", "test")]
+    with pytest.raises(ValueError, match="name one"):
+        readers.read_documents(spark, ["hfds:org/two:conf"], "")
+    monkeypatch.setitem(sys.modules, "datasets", None)
+    with pytest.raises(ImportError, match="needs the package"):
+        readers.read_documents(spark, ["hfds:org/one:conf"], "")
+
+
+def test_the_last_line_of_the_last_file_holds(spark, tmp_path):
+    for name, text in (("b.tsv", "x\t3\ny\t4\nx\t5\n"), ("a.tsv", "x\t1\nz\t2\n" * 50)):
+        (tmp_path / name).write_text(text)
+    assert rows(readers.read_queries(spark, str(tmp_path / "*.tsv"))) == {("x", "5"), ("y", "4"), ("z", "2")}
+
+
+def test_a_row_without_an_id_raises(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id": "1", "text": "x"}\n{"text": "y"}\n')
+    with pytest.raises(Exception, match="has no id"):
+        readers.read_collection(spark, [str(tmp_path / "c.jsonl")]).collect()
+
+
+def test_encoders(spark, monkeypatch):
+    from codelattice.functions.encoders import FileTokenizer, OnnxEncoder
+    from codelattice.operators.passages import passages
+
+    t = FileTokenizer("/opt/tokenizers/byte_bpe_50k.json")
+    docs = spark.createDataFrame([("a", "one two three four five")], "id string, text string")
+    got = passages(docs, "id", ["text"], length=3, stride=3, tokenizer=(t.encode, t.decode)).orderBy("chunk_idx").collect()
+    assert "".join(r.text for r in got) == "one two three four five" and [r.n_tokens for r in got][0] == 3
+
+    class Session:
+        def __init__(self, path):
+            self.path = path
+
+        def run(self, _, given):
+            ids, mask = given["input_ids"], given["attention_mask"]
+            return [np.stack([ids, mask, ids * 0 + 2], -1).astype(np.float32)]
+
+    monkeypatch.setitem(sys.modules, "onnxruntime", Made(InferenceSession=Session))
+    e = OnnxEncoder("model.onnx", t.path, length=4, query_length=6, fill=0, normalise=False)
+    a, b = e.encode(["one two three four five six", "x"])
+    assert a.shape == (4, 3) and b.shape[0] == 1 and (a[:, 0] == t.encode(["one two three four five six"])[0][:4]).all()
+    assert e.encode(["x"], is_query=True)[0].shape == (6, 3) and pickle.loads(pickle.dumps(e))._open is None
+    assert np.allclose(np.linalg.norm(OnnxEncoder("m", t.path).encode(["a b"])[0], axis=1), 1)
+
+
 def test_quotes_are_ordinary_and_the_last_query_holds(spark, tmp_path):
     (tmp_path / "p.tsv").write_text('0\t"quoted\ttitle\n1\tit\'s\n')
     assert rows(readers.read_passages(spark, str(tmp_path / "p.tsv"))) == {(0, '"quoted'), (1, "it's")}
@@ -84,7 +155,7 @@ def test_planner():
     assert plan(Indexing(do_merging_only=True), Present(True, True, True, True)) == Stages(False, False, False, True)
     with pytest.raises(ValueError, match="needs"):
         plan(Indexing(do_merging_only=True), Present(metadata=True))
-    with pytest.raises(ValueError, match="at most one"):
+    with pytest.raises(ValueError, match="exclude each other"):
         Indexing(resume=True, retrain_centroids=True)
     assert number_of_centroids(Indexing(), 9) == 9
     with pytest.raises(ValueError, match="n_centroids"):
@@ -117,6 +188,33 @@ def test_the_three_stages(spark, tmp_path):
     run, scores = run_searching(spark, Searching(index_dir=index, queries=str(tmp_path / "q.tsv"), qrels=str(tmp_path / "qrels"), nprobe=2, topk=5, metrics=["Success@1", "nDCG@10"], search_output=str(tmp_path / "run")))
     assert {r.qid for r in run.collect()} == {"q1", "q2"}
     assert {r.metric: r.value for r in scores.collect()}["nDCG@10"] > 0.6
+    swept = run_sweep(spark, Sweep(index_dir=index, queries=str(tmp_path / "q.tsv"), qrels=str(tmp_path / "qrels"), nprobes=[1, 2], topk=5, metrics=["nDCG@10"], output=str(tmp_path / "sweep.json")))
+    assert [(r["nprobe"], r["rerank"]) for r in swept] == [(1, False), (1, True), (2, False), (2, True)] and json.loads((tmp_path / "sweep.json").read_text()) == swept
+    assert swept[3]["nDCG@10"] == {r.metric: r.value for r in scores.collect()}["nDCG@10"]
+
+
+def test_training_goes_on_from_its_checkpoint(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("".join(f"{i}\tw{i % 7} w{i % 5} w{i % 3}\n" for i in range(60)))
+    (tmp_path / "m.tsv").write_text("".join(f"{i}\td{i}_0\n" for i in range(60)))
+    a = Indexing(index_dir=str(tmp_path / "a"), collection=str(tmp_path / "c.tsv"), passage_mapping=str(tmp_path / "m.tsv"), n_centroids=5, max_steps=12, save_steps=5, per_device_train_batch_size=32, warmup_steps=2, do_encoding=False, do_merging=False)
+    run_indexing(spark, a)
+    whole = rows(spark.read.parquet(str(tmp_path / "a" / "centroids")).selectExpr("cid", "cast(v as string)"))
+    assert not (tmp_path / "a" / "training" / "checkpoint.txt").exists()
+    b = Indexing(**{**a.__dict__, "index_dir": str(tmp_path / "b"), "training_embedding_samples": [str(tmp_path / "a" / "samples")]})
+    saved = codebook.save_state
+
+    def stop(*x):
+        saved(*x)
+        raise InterruptedError
+
+    codebook.save_state = stop
+    try:
+        with pytest.raises(InterruptedError):
+            run_indexing(spark, b)
+    finally:
+        codebook.save_state = saved
+    run_indexing(spark, Indexing(**{**b.__dict__, "resume": True}))
+    assert rows(spark.read.parquet(str(tmp_path / "b" / "centroids")).selectExpr("cid", "cast(v as string)")) == whole
 
 
 def test_stream(spark, tmp_path):

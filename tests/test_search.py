@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from codelattice.operators import indexing, searching
-from codelattice.operators.vectors import best_centroids, codebook_blocks, dot
+from codelattice.operators import indexing, searching, vectors
+from codelattice.operators.vectors import Codebook, best_centroids, dot
 
 from .helpers import rows
 
@@ -65,15 +65,35 @@ def test_first_stage_and_rerank(case, weighted):
 
 
 def test_blocks_of_the_codebook_give_the_same(case, monkeypatch):
-    from codelattice.operators import vectors
-
-    one = rows(best_centroids(case["queries"], case["centroids"], ["tok"], 2).select("tok", "cid", "rank"))
-    monkeypatch.setattr(vectors, "BLOCK_BYTES", 50)
-    assert len(codebook_blocks(case["centroids"])) > 1
-    assert rows(best_centroids(case["queries"], case["centroids"], ["tok"], 2).select("tok", "cid", "rank")) == one
+    x = case
+    posts = indexing.postings(indexing.assignments(x["tokens"], x["centroids"], ["pid", "tok"]))
+
+    def results():
+        best = best_centroids(x["queries"], x["centroids"], ["tok"], 2)
+        return rows(best.select("tok", "cid", "rank", "score")), rows(searching.search(x["queries"], x["centroids"], posts, 20, nprobe=x["nprobe"], topk=x["topk"])), best
+
+    one = results()
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 25)
+    monkeypatch.setattr(vectors, "PASS_ROWS", 3)
+    assert len(Codebook(x["centroids"]).blocks) > 1
+    several = results()
+    assert several[:2] == one[:2]
+    plan = several[2]._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") == one[2]._jdf.queryExecution().toString().count("MapInArrow") and "Union" not in plan  # one pass over the vectors
     monkeypatch.setattr(vectors, "CODEBOOK_BYTES", 10)
     with pytest.raises(ValueError, match="at most"):
-        codebook_blocks(case["centroids"])
+        Codebook(x["centroids"])
+
+
+def test_the_best_of_a_block_with_ties():
+    rng = np.random.default_rng(2)
+    c = rng.integers(-1, 2, (40, 3)).astype(float)
+    v = rng.integers(-2, 3, (50, 3)).astype(float)
+    cids = np.arange(40) * 3
+    for n in (1, 2, 7, 39, 40, 99):
+        s, who = vectors.top_of_block(v, cids, c, n)
+        order = np.lexsort((np.broadcast_to(cids, (50, 40)), -(v @ c.T)), axis=1)[:, :n]
+        assert (who == cids[order]).all() and (s == np.take_along_axis(v @ c.T, order, 1)).all()
 
 
 def test_expression_and_blocks_agree(case):
