@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelattice.functions.text import assemble, docid_of
@@ -28,18 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def queries() -> dict[str, Query]:
-    def shipped(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        run.__name__ = f.__name__
-        return run
-
-    return {k: shipped(f) for k, f in QUERIES.items()}
-
-
 # -- text and passages
 
 _WS = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -391,8 +381,16 @@ def metrics_mean(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SEARCH}, ex AS (SELECT tok, cid, exp(s / 0.1) AS x FROM cs), tot AS (SELECT tok, sum(x) AS t FROM ex GROUP BY tok) SELECT tok, cid, round(x / t, 6) AS p FROM ex JOIN tot USING (tok)")
 def soft_assignment(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
-    s = all_scores(f.queries, f.book, ["qid", "tok"]).withColumn("x", F.exp(F.col("score") / 0.1))
-    return s.select("tok", "cid", F.round(F.col("x") / F.sum("x").over(Window.partitionBy("tok")), 6).alias("p"))
+    rows = f.centroids.orderBy("cid").toArrow()  # a row for each label
+    cids, book = rows["cid"].to_numpy(), matrix(rows["v"])
+
+    def soft(batches):
+        for b in batches:
+            if b.num_rows:
+                p = codebook.softmax(np.round(matrix(b.column(1)) @ book.T, 9) / 0.1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(cids))), pa.array(np.tile(cids, b.num_rows)), pa.array(np.round(p.ravel(), 6))], ["tok", "cid", "p"])
+
+    return f.queries.select("tok", "v").mapInArrow(soft, f"tok {f.queries.schema['tok'].dataType.simpleString()}, cid int, p double")
 
 
 @query(f"""
@@ -401,7 +399,6 @@ def soft_assignment(spark: SparkSession, d: str) -> DataFrame:
     SELECT batch, round(avg(n), 6) AS loss FROM n GROUP BY batch""")
 def loss_hard(spark: SparkSession, d: str) -> DataFrame:
     """The main objective of batches of 128 token vectors, which are their own queries."""
-    import numpy as np
     import pandas as pd
 
     f = Fixture(spark, d)
@@ -428,3 +425,18 @@ def second_best_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["second_best_centroids"] = f"WITH {_ASSIGNED} SELECT sample_id, pid, cid, CAST(r AS INT) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, pid ORDER BY s DESC, cid) AS r FROM sc) WHERE r <= 2"
+
+
+def queries() -> dict[str, Query]:
+    def shipped(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        run.__name__ = f.__name__
+        return run
+
+    return {k: shipped(f) for k, f in QUERIES.items()}
+
+
+from codelattice import catalogue_io, catalogue_training  # noqa: E402, F401  their queries are added to these

@@ -65,8 +65,7 @@ def run_indexing(spark: SparkSession, a: Indexing, encoder: TokenEncoder | None
             asked = matrix(encode(texts, "rank", "text", encoder, is_query=True).select("v").toArrow()["v"])
         # the weighted loss needs as many queries as vectors: those of the batch
         o = codebook.Objective(a.with_weighted_assignments and asked is None, a.use_soft_assignment, a.max_difference_objective, a.with_kmeans_objective, a.entropy_regularization, a.initial_temperature, a.final_temperature, a.temperature_anneal_steps)
-        given = a.training_embedding_samples or [f"{path}/samples"]
-        samples = spark.read.parquet(*([given] if isinstance(given, str) else given))
+        samples = readers.read_samples(spark, a.training_embedding_samples or f"{path}/samples")
         initial = matrix(start.orderBy("cid").select("v").toArrow()["v"]) if start is not None else None
         book = codebook.train_codebook(
             samples, k, most=a.driver_rows, objective=o, queries=asked, initial=initial, steps=a.max_steps, batch=a.per_device_train_batch_size, rate=a.learning_rate, decay=a.weight_decay, clip=a.max_grad_norm, warmup=a.warmup_steps,
@@ -77,7 +76,7 @@ def run_indexing(spark: SparkSession, a: Indexing, encoder: TokenEncoder | None
         if a.clean_up_samples:
             sinks.delete(spark, f"{path}/samples")
     if todo.encoding:
-        book = Codebook(spark.read.parquet(centroids))
+        book = Codebook(readers.read_centroids(spark, centroids))
         sinks.write_metadata(spark, path, n_centroids=book.rows, centroids=centroids, collection=a.collection, passage_mapping=a.passage_mapping, colbert_checkpoint=a.colbert_checkpoint)
         assigned = indexing.assignments(encode(docs, "pid", "text", encoder), book, ["pid", "tok"])
         indexing.postings(assigned, weighted=a.with_weighted_assignments).write.mode("overwrite").parquet(f"{path}/postings")
@@ -97,7 +96,7 @@ class Index:
         meta = sinks.read_metadata(spark, a.index_dir)
         if meta is None:
             raise FileNotFoundError(f"no index in {a.index_dir}")
-        self.n_docs, self.book = meta["n_docs"], Codebook(spark.read.parquet(a.centroids or meta["centroids"]))
+        self.n_docs, self.book = meta["n_docs"], Codebook(readers.read_centroids(spark, a.centroids or meta["centroids"]))
         self.inverted, self.forward = (readers.read_postings(spark, f"{a.index_dir}/{layout}") for layout in ("inverted", "forward"))
         if getattr(a, "load_full_index_to_memory", False):
             self.inverted, self.forward = self.inverted.cache(), self.forward.cache()

@@ -183,6 +183,16 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return df if "w" in df.columns else df.withColumn("w", F.lit(1.0))
 
 
+def read_centroids(spark: SparkSession, path: str) -> DataFrame:
+    """A codebook (cid, v)."""
+    return spark.read.parquet(path).select("cid", "v")
+
+
+def read_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Sampled token vectors, in one place or several. Training puts them in an order of its own."""
+    return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+
+
 def count_rows(df: DataFrame, known: int | None = None) -> int:
     return known if known is not None else df.count()
 
