@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelattice.session import scratch_path
@@ -17,9 +17,10 @@ from codelattice.session import scratch_path
 FILE_ROWS, ROW_GROUP_ROWS = 1_000_000, 4_096
 
 
-def cluster_by_group(df: DataFrame, group: str, item: str, score: str, *, file_rows: int = FILE_ROWS, row_group_rows: int = ROW_GROUP_ROWS) -> str:
+def cluster_by_group(df: DataFrame, group: str, item: str, score: str, *, file_rows: int = FILE_ROWS, row_group_rows: int = ROW_GROUP_ROWS, path: str | None = None) -> str:
     """Write the rows that count, as (g, d, s), clustered by group and descending score, and return the path.
 
+    With a ``path`` of its own the table stays, and :func:`top_n_clustered` answers for any ``n`` from it without another shuffle of the rows.
     The files are ranges of (group, score descending, item), so a group that holds a third of all rows is spread over many
     files, and of these only the first row group can hold rows of its top N.
     Rows with a null group, item or score or a NaN score don't count.
@@ -28,7 +29,7 @@ def cluster_by_group(df: DataFrame, group: str, item: str, score: str, *, file_r
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("d"), (F.col(score).cast("double") + F.lit(0.0)).alias("s"))
     rows = rows.where("g is not null and d is not null and s is not null and not isnan(s)")
     parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // file_rows))
-    path = scratch_path(spark)
+    path = path or scratch_path(spark)
     order = [F.col("g"), F.col("s").desc(), F.col("d")]
     (
         rows.repartitionByRange(parts, *order)
@@ -109,9 +110,15 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, *, file_rows
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    spark = df.sparkSession
     path = cluster_by_group(df, group, item, score, file_rows=file_rows, row_group_rows=row_group_rows)
-    files = spark.read.parquet(path).inputFiles()
+    return top_n_clustered(df.sparkSession, path, n, group=group, item=item, score=score)
+
+
+def top_n_clustered(spark: SparkSession, path: str, n: int, *, group: str = "g", item: str = "d", score: str = "s") -> DataFrame:
+    """The up to ``n`` best items of every group of a table that :func:`cluster_by_group` wrote; see :func:`top_n`. Only what no statistics rule out is read."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    files = spark.read.schema("g string, d string, s double").parquet(path).inputFiles()
     out = "g string, d string, s double"
     if not files:
         best = spark.createDataFrame([], out)

@@ -244,6 +244,15 @@ def test_top_n(spark, file_rows, group_rows):
     assert topn.top_n(df.where("did is null"), "qid", "did", "s", 10).count() == 0
 
 
+def test_a_clustered_table_stays(spark, tmp_path):
+    df = spark.createDataFrame([(f"q{i % 7}", f"d{i % 50}", float(i * 31 % 101)) for i in range(3_000)], "qid string, did string, s double")
+    path = topn.cluster_by_group(df, "qid", "did", "s", file_rows=500, row_group_rows=50, path=str(tmp_path / "t"))
+    for n in (1, 3, 10):
+        assert rows(topn.top_n_clustered(spark, path, n, group="qid", item="did", score="s")) == rows(topn.top_n(df, "qid", "did", "s", n))
+    with pytest.raises(ValueError, match="at least 1"):
+        topn.top_n_clustered(spark, path, 0)
+
+
 def test_row_groups_of_a_hot_group_are_skipped(spark):
     df = spark.createDataFrame([("hot", f"d{i}", float(i % 997)) for i in range(20_000)], "qid string, did string, s double")
     path = topn.cluster_by_group(df, "qid", "did", "s", file_rows=10_000, row_group_rows=500)
