@@ -94,6 +94,42 @@ def sample_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_samples(spark, paths).select("sample_id", "tok", F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("dims"))
 
 
+@query("SELECT * FROM (VALUES ('org/repo:conf', 'org/repo', 'conf', ''), ('org/repo:conf/train', 'org/repo', 'conf', 'train'), ('org/repo', 'org/repo', '', ''), ('org/repo/test', 'org/repo', '', 'test'), ('repo', 'refused', '', ''), ('a/b/c/d', 'refused', '', '')) t(spec, repo, config, split)")
+def hub_specs(spark: SparkSession, d: str) -> DataFrame:
+    """What the names of hub datasets say; a name without a split stands for a repository with a single one."""
+    found = []
+    for spec in ("org/repo:conf", "org/repo:conf/train", "org/repo", "org/repo/test", "repo", "a/b/c/d"):
+        try:
+            h = readers.parse_hub_spec(spec)
+            found.append((spec, h.repo, h.config or "", h.split or ""))
+        except ValueError:
+            found.append((spec, "refused", "", ""))
+    return spark.createDataFrame(found, "spec string, repo string, config string, split string")
+
+
+@query("""
+    WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)
+    SELECT doc_id, CAST(n % 8 AS INT) AS rank, CAST(n // 8 // 32 AS BIGINT) AS batch FROM n""")
+def rank_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents dealt to eight ranks in turn, in batches of 32."""
+    return passages.rank_batches(table(spark, d, "documents").select("doc_id"), ["doc_id"], 8, 32)
+
+
+@query(_WINDOWS.format(text=_ASSEMBLED.replace("coalesce(title, '') <> ''", "false"), ws=_WS, stride=90) + "SELECT CAST(row_number() OVER (ORDER BY doc_id, s) - 1 AS BIGINT) AS pid, doc_id || '_' || CAST(s // 90 AS VARCHAR) AS passage_id, CAST(least(180, len(t) - s) AS INT) AS n_tokens FROM w")
+def streamed_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream: passages that arrived in one batch are numbered as those of a table, and their postings are appended."""
+    from codelattice.streaming.passages import index_stream
+
+    path, e = scratch_path(spark), HashEncoder()
+    book = write_scratch(spark.createDataFrame([(i, [float(x) for x in e.vector(w)]) for i, w in enumerate(("the", "index", "query", "passage"))], "cid int, v array<float>"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{path}/in")
+    index_stream(stream, "doc_id", ["text"], book, e, f"{path}/ix", checkpoint=f"{path}/cp").awaitTermination()
+    posts = spark.read.parquet(f"{path}/ix/postings").select("pid").distinct()
+    return spark.read.parquet(f"{path}/ix/passages").join(posts, "pid", "left_semi").select("pid", "passage_id", "n_tokens")
+
+
 # -- sinks
 
 

@@ -49,3 +49,14 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "pid") -> DataFrame:
     kept = write_scratch(ranged.select("*", F.shiftrightunsigned(inner, 33).cast("int").alias("_part"), inner.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")))
     counts = kept.groupBy("_part").count().select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     return kept.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_before", "_row")
+
+
+def rank_batches(df: DataFrame, order: list[str], ranks: int, size: int) -> DataFrame:
+    """``rank`` and ``batch`` of each row: rows in order go to the ranks in turn, and each rank takes ``size`` of its rows at once.
+
+    Spark's partitions and Arrow batches do this by themselves; this is for handing the work to something else.
+    """
+    if ranks < 1 or size < 1:
+        raise ValueError("ranks and size must be at least 1")
+    numbered = dense_ids(df, order, "_n")
+    return numbered.withColumn("rank", (F.col("_n") % ranks).cast("int")).withColumn("batch", F.expr(f"_n div {ranks} div {size}")).drop("_n")
