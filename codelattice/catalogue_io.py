@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codelattice.catalogue import _ASSEMBLED, _ASSIGNED, _QRELS, _RUN_ROWS, _TAGS, _WINDOWS, _WS, Fixture, _assigned, _pooled, _run_rows, _stages, query
 from codelattice.functions.encoders import HashEncoder, encode
+from codelattice.functions.text import tokens
 from codelattice.operators import evaluation, indexing, passages
 from codelattice.plans.arguments import Indexing, Searching
 from codelattice.plans.planner import Present, plan
@@ -292,3 +293,47 @@ def metrics_of_rank(spark: SparkSession, d: str) -> DataFrame:
     f = Fixture(spark, d)
     run = write_scratch(f.run(nprobe=4, topk=20).select("qid", "doc_id", F.round("score", 6).alias("score")))
     return evaluation.per_query(run, f.qrels(), ("AP", "RR", "Success@3"), relevant=2).withColumn("value", F.round("value", 6))
+
+
+# -- the three stages from end to end
+
+_HASHED = "list_transform(range(1, 33), lambda j: instr('0123456789abcdef', substr(md5(t), j, 1)) - 8.5)"
+
+
+@query(f"""
+    WITH i AS (SELECT item_id, list_filter(string_split_regex(item_text, '{_WS}'), lambda x: x <> '') AS t FROM eval_items WHERE item_text IS NOT NULL),
+    w AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, t, unnest(range(0, len(t), 10)) AS s FROM i WHERE len(t) > 0),
+    ps AS (SELECT row_number() OVER (ORDER BY doc_id, s) - 1 AS pid, doc_id, list_slice(t, s + 1, s + 20) AS t FROM w),
+    every_word AS (SELECT DISTINCT unnest(t) AS t FROM i),
+    words AS (SELECT row_number() OVER (ORDER BY md5(t), t) - 1 AS cid, t FROM every_word QUALIFY cid < 256),
+    h AS (SELECT t, {_HASHED} AS h FROM every_word),
+    tv AS MATERIALIZED (SELECT t, list_transform(h, lambda x: CAST(CAST(x / sqrt(list_sum(list_transform(h, lambda y: y * y))) AS FLOAT) AS DOUBLE)) AS v FROM h),
+    c AS (SELECT cid, v FROM words JOIN tv USING (t)),
+    sc AS MATERIALIZED (SELECT t, cid, round(list_dot_product(tv.v, c.v), 9) AS s, list_dot_product(tv.v, tv.v) AS vv FROM tv CROSS JOIN c),
+    best AS (SELECT t, cid, vv - s + 1 AS w FROM sc QUALIFY row_number() OVER (PARTITION BY t ORDER BY s DESC, cid) = 1),
+    fwd AS MATERIALIZED (SELECT pid, cid, max(greatest(w, -1.0)) AS w FROM (SELECT pid, unnest(t) AS t FROM ps) JOIN best USING (t) GROUP BY pid, cid),
+    q AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS qid, unnest(range(0, len(t))) AS tok, unnest(t) AS t FROM i),
+    cs AS MATERIALIZED (SELECT qid, tok, cid, s FROM q JOIN sc USING (t)),
+    qc AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY qid, tok ORDER BY s DESC, cid) <= 2),
+    tm AS (SELECT qid, tok, pid, CASE WHEN count(*) = 2 THEN max(w * s) ELSE greatest(max(w * s), 0.0) END AS m FROM qc JOIN fwd USING (cid) GROUP BY qid, tok, pid),
+    st1 AS (SELECT qid, pid, sum(m) AS sc FROM tm GROUP BY qid, pid),
+    every AS (SELECT qs.qid, ps.pid, coalesce(sc, 0) AS sc FROM (SELECT DISTINCT qid FROM q) qs CROSS JOIN ps LEFT JOIN st1 ON st1.qid = qs.qid AND st1.pid = ps.pid),
+    top AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, pid) <= 15),
+    rr AS (SELECT qid, pid, sum(m) AS sc FROM (SELECT qid, pid, tok, max(s) AS m FROM top JOIN fwd USING (pid) JOIN cs USING (qid, cid) GROUP BY qid, pid, tok) GROUP BY qid, pid),
+    mp AS (SELECT qid, doc_id, max(sc) AS score FROM rr JOIN ps USING (pid) GROUP BY qid, doc_id)
+    SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM mp) WHERE rank <= 5""")
+def whole_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Test items as JSON lines, cut into passages, indexed with a codebook of the vectors of 256 of their words, and searched for themselves, through the three stages."""
+    from codelattice.plans.arguments import Passaging
+    from codelattice.plans.pipeline import run_indexing, run_passaging, run_searching
+
+    items, path, e = table(spark, d, "eval_items"), scratch_path(spark), HashEncoder()
+    items.select(F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.col("item_text").alias("text"))).alias("value")).write.text(f"{path}/docs")
+    words = items.select(F.explode(tokens(F.col("item_text"))).alias("t")).distinct().orderBy(F.md5("t"), "t").limit(256).collect()
+    spark.createDataFrame([(i, [float(x) for x in e.vector(r.t)]) for i, r in enumerate(words)], "cid int, v array<float>").write.parquet(f"{path}/book")
+    asked = items.where(F.trim(_one_line("item_text")) != "").select(F.concat_ws("\t", F.col("item_id").cast("string"), F.trim(_one_line("item_text"))).alias("value"))
+    asked.write.text(f"{path}/queries")
+    run_passaging(spark, Passaging(corpus=[f"{path}/docs"], output=f"{path}/out", length=20, stride=10))
+    run_indexing(spark, Indexing(index_dir=f"{path}/ix", centroids=f"{path}/book", n_centroids=len(words), collection=f"{path}/out/collection_passages", passage_mapping=f"{path}/out/mapping", with_weighted_assignments=True))
+    run, _ = run_searching(spark, Searching(index_dir=f"{path}/ix", queries=f"{path}/queries", nprobe=2, topk=15, limit=5))
+    return run.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")

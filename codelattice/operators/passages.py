@@ -22,7 +22,7 @@ def passages(documents: DataFrame, key: str, bodies: list[str], *, title: str |
     """
     if length < 1 or stride < 1:
         raise ValueError("length and stride must be at least 1")
-    text = assemble(F.col(title) if title else None, [F.col(b) for b in bodies], lower=lower)
+    text = assemble(F.col(title) if title else None, [F.col(b) for b in bodies], lower=lower, collapse=tokenizer is not None)
     rows = documents.select(F.col(key).cast("string").alias("doc_id"), text.alias("text"))
     if tokenizer is None:
         rows = rows.select("doc_id", tokens(F.col("text")).alias("t"))

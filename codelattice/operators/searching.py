@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from codelattice.operators.vectors import Codebook, as_codebook, best_centroids
+from codelattice.operators.vectors import Codebook, as_codebook, best_centroids, matrix
+from codelattice.session import write_scratch
 
 
 def probes(queries: DataFrame, centroids: DataFrame | Codebook, nprobe: int) -> DataFrame:
@@ -58,19 +60,37 @@ def rerank(short: DataFrame, posts: DataFrame, queries: DataFrame, centroids: Da
     listed = short.select("qid", F.col("pid").cast("long").alias("pid"))
     codes = posts.select(F.col("pid").cast("long").alias("pid"), "cid").join(listed.select("pid").distinct(), "pid", "left_semi")
     codes = codes.groupBy("pid").agg(F.array_sort(F.collect_set("cid")).alias("cids"))
+    # a row for each query, with its short list: its vectors travel once
     asked = queries.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("tok", "v"))).alias("t")).select("qid", F.col("t.v").alias("q"))
-    rows = listed.join(codes, "pid").join(asked, "qid").select("qid", "pid", "cids", "q")
+    lists = listed.join(codes, "pid").groupBy("qid").agg(F.collect_list(F.struct("pid", "cids")).alias("p"))
+    rows = lists.join(asked, "qid").select("qid", "p.pid", "p.cids", "q")
+
+    def scored(part: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of some queries' short lists, whose centroids are gathered at once."""
+        cids, at = np.unique(np.concatenate([flat for _, _, flat, _, _ in part]), return_inverse=True)
+        c, done = book.vectors(cids), 0
+        for qid, pids, flat, sizes, q in part:
+            own, where = np.unique(at[done : done + len(flat)], return_inverse=True)
+            done += len(flat)
+            s = np.round(q @ c[own].T, 9)
+            best = np.maximum.reduceat(s[:, where], np.cumsum(sizes) - sizes, axis=1).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(pids), kind), pids, pa.array(best)], ["qid", "pid", "score"])
+
+    kind = pa.array([], type=to_arrow_type(short.schema["qid"].dataType)).type
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                lists = [np.array(x) for x in b.column(2).to_pylist()]
-                cids = np.unique(np.concatenate(lists))
-                c, values = book.vectors(cids), []
-                for own, q in zip(lists, b.column(3).to_pylist(), strict=True):
-                    values.append(float(np.round(np.asarray(q, np.float64) @ c[np.searchsorted(cids, own)].T, 9).max(1).sum()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], ["qid", "pid", "score"])
+        part, codes = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                own = b.column(2)[i].values
+                flat = own.flatten().to_numpy()
+                part.append((b.column(0)[i].as_py(), b.column(1)[i].values, flat, np.diff(own.offsets.to_numpy()), matrix(b.column(3)[i].values)))
+                codes += len(flat)
+                if codes > 200_000:
+                    yield from scored(part)
+                    part, codes = [], 0
+        if part:
+            yield from scored(part)
 
     return rows.mapInArrow(score, out)
 
@@ -89,6 +109,8 @@ def pool(scored: DataFrame, mapping: DataFrame | None, limit: int | None = 100)
 def search(queries: DataFrame, centroids: DataFrame | Codebook, posts: DataFrame, n_docs: int, mapping: DataFrame | None = None, *, nprobe: int = 1, topk: int = 1000, use_forward: bool = True, limit: int = 100, forward_posts: DataFrame | None = None) -> DataFrame:
     """The whole search as one plan, for any number of queries. ``posts`` is best clustered by centroid, ``forward_posts`` by passage."""
     book = as_codebook(centroids)
-    top = top_passages(first_stage(probes(queries, book, nprobe), posts, nprobe), queries, n_docs, topk)
-    scored = rerank(top, forward_posts if forward_posts is not None else posts, queries, book) if use_forward else top
+    probed = write_scratch(probes(queries, book, nprobe))  # a few rows for each token of a query, which would be made anew wherever they are needed
+    top = top_passages(first_stage(probed, posts, nprobe), queries, n_docs, topk)
+    # the short lists are few rows and needed twice
+    scored = rerank(write_scratch(top), forward_posts if forward_posts is not None else posts, queries, book) if use_forward else top
     return pool(scored.select("qid", "pid", "score"), mapping, limit)
