@@ -35,15 +35,23 @@ def top_passages(scored: DataFrame, queries: DataFrame, n_docs: int, topk: int)
     """min(topk, n_docs) passages for every query: those without a score count 0, which beats negative ones; ties go to the smaller pid.
 
     Pids are 0 .. n_docs-1. Among the first topk + m of them at least topk are not among a query's m scored passages, so no more zeros
-    are made than that, and none for queries with topk positive scores.
+    are made than that, and none for queries with topk positive scores. The scored passages are gone through once, and their topk of each query kept.
     """
-    per = scored.groupBy("qid").agg(F.count("*").alias("m"), F.sum((F.round("score", 9) > 0).cast("int")).alias("up"))
-    asked = queries.select("qid").distinct().join(per, "qid", "left").na.fill(0)
-    lacking = asked.where(F.col("up") < topk).select("qid", F.explode(F.sequence(F.lit(0), F.least(F.lit(n_docs), F.lit(topk) + F.col("m")) - 1)).alias("pid")) if n_docs else asked.select("qid", F.lit(0).alias("pid")).limit(0)
-    zeros = lacking.select("qid", F.col("pid").cast("long")).join(scored.select("qid", F.col("pid").cast("long")), ["qid", "pid"], "left_anti").withColumn("score", F.lit(0.0))
-    every = scored.select("qid", F.col("pid").cast("long"), "score").union(zeros)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "pid"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= topk)
+    typed = scored.select("qid", F.col("pid").cast("long"), "score")
+    kept = write_scratch(typed.withColumn("rank", rank).where(F.col("rank") <= topk).drop("rank"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("qid").agg(F.count("*").alias("m"), F.sum((F.round("score", 9) > 0).cast("int")).alias("up"))
+
+    if n_docs > topk:  # queries whose topk scores are not all positive may have more of the negative ones, which are no zeros
+        negative = write_scratch(counted(kept).where((F.col("m") >= topk) & (F.col("up") < topk)).select("qid"))
+        if negative.take(1):
+            kept = kept.join(negative, "qid", "left_anti").union(typed.join(negative, "qid", "left_semi"))
+    asked = queries.select("qid").distinct().join(counted(kept), "qid", "left").na.fill(0)
+    lacking = asked.where(F.col("up") < topk).select("qid", F.explode(F.sequence(F.lit(0), F.least(F.lit(n_docs), F.lit(topk) + F.col("m")) - 1)).alias("pid")) if n_docs else asked.select("qid", F.lit(0).alias("pid")).limit(0)
+    zeros = lacking.select("qid", F.col("pid").cast("long")).join(kept.select("qid", "pid"), ["qid", "pid"], "left_anti").withColumn("score", F.lit(0.0))
+    return kept.union(zeros).withColumn("rank", rank).where(F.col("rank") <= topk)
 
 
 def rerank(short: DataFrame, posts: DataFrame, queries: DataFrame, centroids: DataFrame | Codebook) -> DataFrame:
@@ -111,6 +119,5 @@ def search(queries: DataFrame, centroids: DataFrame | Codebook, posts: DataFrame
     book = as_codebook(centroids)
     probed = write_scratch(probes(queries, book, nprobe))  # a few rows for each token of a query, which would be made anew wherever they are needed
     top = top_passages(first_stage(probed, posts, nprobe), queries, n_docs, topk)
-    # the short lists are few rows and needed twice
-    scored = rerank(write_scratch(top), forward_posts if forward_posts is not None else posts, queries, book) if use_forward else top
+    scored = rerank(top, forward_posts if forward_posts is not None else posts, queries, book) if use_forward else top
     return pool(scored.select("qid", "pid", "score"), mapping, limit)

@@ -106,6 +106,15 @@ def test_expression_and_blocks_agree(case):
     assert got == {r.tok: round(r.score, 6) for r in all_scores(case["queries"], case["centroids"], ["tok"]).where("cid = 1").collect()}
 
 
+def test_zeros_beat_negative_scores_however_many(spark):
+    """Of the queries one has more negative scores than are asked for, one some, one none at all, one enough positive ones."""
+    scored = [("many", p, -1.0 - p) for p in range(0, 30, 2)] + [("some", 0, 2.0), ("some", 1, -1.0), ("some", 2, 0.0)] + [("fine", p, 1.0 + p) for p in range(9)]
+    queries = spark.createDataFrame([(q,) for q in ("many", "some", "fine", "none")], "qid string")
+    got = searching.top_passages(spark.createDataFrame(scored, "qid string, pid long, score double"), queries, 40, 5).collect()
+    want = {"many": [(p, 0.0) for p in (1, 3, 5, 7, 9)], "some": [(0, 2.0), *((p, 0.0) for p in (2, 3, 4, 5))], "none": [(p, 0.0) for p in range(5)], "fine": [(p, 1.0 + p) for p in (8, 7, 6, 5, 4)]}
+    assert {q: [(r.pid, r.score) for r in sorted(got, key=lambda r: r.rank) if r.qid == q] for q in want} == want
+
+
 def test_pooling_and_limit(spark):
     scored = spark.createDataFrame([("q", 0, 1.0), ("q", 1, 3.0), ("q", 2, 3.0), ("q", 3, -1.0)], "qid string, pid long, score double")
     mapping = spark.createDataFrame([(0, "b"), (1, "b"), (2, "a"), (3, "")], "pid long, doc_id string")
