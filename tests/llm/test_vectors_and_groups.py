@@ -1,6 +1,7 @@
 """Nearest vectors, clusters and top N: against plain loops, and on odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -176,6 +177,15 @@ def test_a_vector_is_in_every_component_within_the_margin():
     assert np.bincount(row).max() > 12 and mask[row, m.cell_of[col]].all()
 
 
+def test_a_fit_never_holds_all_vectors_by_all_components():
+    u = unit(np.random.default_rng(4).normal(size=(16_000, DIM)))
+    tracemalloc.start()
+    m = mixture.Mixture(u, 25_000_000, support=(10**6,), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(m.weights) == 2_000 and peak < 100e6  # 16,000 x 2,000 numbers are 128 MB
+
+
 def test_clusters_of_nothing_and_components(spark):
     df, ids, _ = samples(spark)
     assert mixture.clusters(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
