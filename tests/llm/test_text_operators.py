@@ -1,6 +1,7 @@
 """Splitting, tokens, reading levels: against plain loops, and on odd rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -218,6 +219,57 @@ def test_models_learn_the_levels(spark, words):
     assert np.mean([r.level == (4 if r.key % 2 else 2) for r in by_label if r.key is not None]) > 0.95
 
 
+def plain_posteriors(texts, words):
+    """Models of all texts by loops and np.quantile: level and posterior of each text."""
+    n = np.array([[len(regex.findall(r"\p{L}+", t)), len(regex.findall(r"\p{L}{7,}", t)), len(regex.findall(r"[.!?…]+(?=\s|$)", t))] for t in texts])
+    levels, scores, of = np.array([level(t) for t in texts]), [], []
+    u = np.stack([n[:, 0] - n[:, 1], n[:, 1], n[:, 2]], 1)
+    cut = lambda x, k: np.searchsorted(np.quantile(x, np.linspace(0, 1, k + 1)[1:-1]), x)
+    said = [units.words_of(t) for t in texts]
+    count = {v: Counter(w for s, own in zip(said, levels) if own == v for w in s) for v in np.unique(levels)}
+    every = sum(count.values(), Counter())
+    known = {w for w, c in every.items() if c >= 3}
+
+    def model(c):
+        merged = Counter(dict.fromkeys([*known, None], 0.5))
+        for w, x in c.items():
+            merged[w if w in known else None] += x
+        total = sum(merged.values())
+        return {w: x / total for w, x in merged.items()}
+
+    for v in np.unique(levels):
+        own = levels == v
+        if words:
+            here, all_ = model(count[v]), model(every)
+            scores.append([np.log(own.mean()) + sum(np.log((here[w] + all_[w]) / 2) for w in (w if w in known else None for w in s)) for s in said])
+            of.append(v)
+            continue
+        first = cut((u[own][:, 2] + 0.5) / n[own][:, 0], 16)
+        for i in np.unique(first):
+            rows = u[own][first == i]
+            second = cut((rows[:, 1] + 0.5) / rows[:, :2].sum(1), 4)
+            for j in np.unique(second):
+                c = rows[second == j].sum(0) + 0.5
+                scores.append(np.log((second == j).sum() / len(texts)) + u @ np.log(c / c.sum()))
+                of.append(v)
+    return reading.likeliest(np.array(scores).T, np.array(of))
+
+
+@pytest.mark.parametrize(("words", "size"), [(False, 21_000), (True, 400)])
+def test_models_are_of_all_rows(spark, words, size):
+    rng = random.Random(5)
+    some = ["cat", "dog", "sun", "characteristic", "elephants", "seventy", "notwithstanding"]
+    texts = []
+    for _ in range(size):
+        mine = rng.sample(some, 3)
+        texts.append(" ".join(rng.choice(mine) + rng.choice(["", "", "", "", "", "."]) for _ in range(rng.randint(20, 45))) + f". {'rare' if rng.random() < 0.5 else 'once' + chr(97 + rng.randrange(26)) * rng.randint(1, 9)}")
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "key long, text string").repartition(4)
+    got = {r.key: (r.level, r.posterior) for r in reading.unigram_levels(df, "key", "text", words=words).collect()}
+    want, sure = plain_posteriors(texts, words)
+    assert len(got) == size and [got[i][0] for i in range(size)] == want.tolist()
+    assert np.abs(np.array([got[i][1] for i in range(size)]) - sure).max() < 1e-6
+
+
 def test_held_out_levels_of_the_documents(spark):
     """Of documents not trained on, at least eight in ten get the formula's level."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
