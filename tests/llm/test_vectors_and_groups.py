@@ -186,6 +186,27 @@ def test_a_fit_never_holds_all_vectors_by_all_components():
     assert len(m.weights) == 2_000 and peak < 100e6  # 16,000 x 2,000 numbers are 128 MB
 
 
+@pytest.mark.parametrize(("share_rows", "tile"), [(200_000, 12_000), (600, 300)])
+def test_the_mixture_is_of_all_vectors(spark, monkeypatch, share_rows, tile):
+    monkeypatch.setattr(mixture, "SHARE", 1_000, raising=False)
+    monkeypatch.setattr(mixture, "SHARE_ROWS", share_rows, raising=False)
+    rng = np.random.default_rng(11)
+    centres = unit(rng.normal(size=(150, 24)))
+    x = np.concatenate([c + rng.normal(scale=0.07, size=(rng.integers(1, 50), 24)) for c in centres] + [rng.normal(size=(6_000, 24))])[:4_700].astype(np.float32)
+    ids = rng.permutation(10 * len(x))[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "sample_id long, v array<float>").repartition(4)
+    used, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: used.append(v) or broadcast(v))
+    got = mixture.clusters(df, "sample_id", "v", dim=24, tile=tile)
+    order, u = np.argsort(ids), unit(x)
+    assert rows(got) == grouped(ids[order], u[order])
+    m = next(v for v in used if isinstance(v, mixture.Mixture))
+    _, mask = m.scores(u)
+    assert np.abs(m.mean - u.mean(0)).max() < 1e-9 and np.abs(m.scale - u.std(0)).max() < 1e-9
+    assert abs(m.weights.sum() - 1) < 1e-6 and np.abs(m.weights @ m.means).max() < 1e-3  # the mean of what it was fitted on
+    assert (m.tiles == np.maximum(1, np.ceil(mask.sum(0) / tile))).all() and (m.tiles.max() > 1) == (tile == 300)
+
+
 def test_clusters_of_nothing_and_components(spark):
     df, ids, _ = samples(spark)
     assert mixture.clusters(df.limit(0), "sample_id", "v", dim=DIM).count() == 0
