@@ -1,5 +1,6 @@
 """Nearest vectors, clusters and top N: against plain loops, and on odd rows."""
 
+import cProfile
 import random
 import tracemalloc
 
@@ -164,6 +165,40 @@ def test_clusters(spark, monkeypatch, copies, tile, margin):
     assert rows(got) == grouped(ids, u) and got.count() == len(rows(got))
 
 
+@pytest.mark.parametrize(("size", "dim", "least"), [(1, 4, 0.8), (700, 3, 0.9999), (700, 3, 0.8), (700, 6, 0.95), (700, 24, 0.8)])
+def test_connected_sets_are_those_of_all_pairs(size, dim, least):
+    u = unit(np.random.default_rng(7).normal(size=(size, dim)))
+    want, near = np.arange(size), u @ u.T >= least
+    while True:
+        least_near = np.where(near, want, size).min(1)
+        if (least_near == want).all():
+            break
+        want = least_near
+    label = mixture.connected(u, least)
+    assert len({*zip(label.tolist(), want.tolist())}) == len({*label.tolist()}) == len({*want.tolist()})
+
+
+def test_lone_vectors_are_not_looked_at_one_by_one():
+    u = unit(np.random.default_rng(5).normal(size=(3_000, 96)))
+    profile = cProfile.Profile()
+    label = profile.runcall(mixture.connected, u, 0.8)
+    assert len({*label.tolist()}) == 3_000 and sum(x.callcount for x in profile.getstats()) < 2_000
+
+
+def test_clusters_read_the_table_four_times(spark):
+    df, ids, u = samples(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = mixture.clusters(df.mapInArrow(counted, df.schema), "sample_id", "v", dim=DIM)
+    assert rows(got) == grouped(ids, u)
+    assert seen.value <= 4 * df.count()  # to count, for mean and covariances, into shares, and to place; then from what was placed
+
+
 def test_a_vector_is_in_every_component_within_the_margin():
     u = unit(np.random.default_rng(6).normal(size=(900, DIM)))
     m = mixture.Mixture(u, 900, 3.0, cell=15)
