@@ -131,6 +131,48 @@ def test_a_vector_in_half_of_the_rows_is_one_row_of_its_tile(spark):
     assert whole.first()["ids"] == sorted(i for i, v in zip(ids, u) if abs(v @ u[-1] - 1) < 1e-12)[:6]
 
 
+def test_copies_in_many_batches_are_one_row_of_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "REPEATED", 100)
+    x = unit(np.random.default_rng(14).normal(size=(40, DIM))).astype(np.float16).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i % 40].tolist()) for i in range(1_200)], "sample_id long, v array<float>").repartition(30, "sample_id")
+    largest, before = [], knn.grouped
+
+    def counted(rows, key, function, schema):
+        largest.append(rows.groupBy(key).count().agg(F.max("count")).first()[0])
+        return before(rows, key, function, schema)
+
+    monkeypatch.setattr(knn, "grouped", counted)
+    got = knn.nearest(df, "sample_id", "v", dim=DIM, least=0.999).select("owner_id", "neighbour_id")
+    assert rows(got) == {(i, j) for i in range(1_200) for j in [j for j in range(i % 40, 1_200, 40) if j != i][:5]} and got.count() == 6_000
+    assert largest[0] <= 40
+
+
+def test_scores_of_many_cells_take_little_memory():
+    rng = np.random.default_rng(15)
+    cells = knn.PivotCells(unit(rng.normal(size=(2_000, 8))), 2_000, 0.12, cell=40)
+    cells.leaders = unit(rng.normal(size=(150_000, 8))).astype(np.float32)
+    cells.cell_of, cells.first, cells.tiles = np.arange(150_000) % 100, 100, np.ones(100 + len(cells.pivots), np.int64)
+    u = unit(rng.normal(size=(256, 8)))
+    tracemalloc.start()
+    cells.scores(u)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    cells.tiles = np.ones(40_000, np.int64)
+    assert cells.rows() * 40_000 <= vectors.FLAGS
+
+
+def test_pairs_of_ids_are_ranked_in_parts(monkeypatch):
+    rng = np.random.default_rng(16)
+    u = unit(rng.normal(size=(60, DIM)))
+    points = [(p, [3 * i, 3 * i + 1, 3 * i + 2]) for i, p in enumerate(vectors.pack(u.astype(np.float32)))]
+    owners = [(p, i, 0) for p, i in points]
+    whole = knn.search_tile(points, owners, DIM, 5, 0.3, 20, 12)
+    monkeypatch.setattr(knn, "PAIRS", 10)
+    parts = knn.search_tile(points, owners, DIM, 5, 0.3, 20, 12)
+    assert len(whole[1]) == 900 and {(*map(int, x), float(c)) for *x, c in zip(*whole[0], whole[1])} == {(*map(int, x), float(c)) for *x, c in zip(*parts[0], parts[1])}
+
+
 def test_collisions_find_what_is_near():
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=(400, 96)))
