@@ -131,6 +131,34 @@ def test_a_vector_in_half_of_the_rows_is_one_row_of_its_tile(spark):
     assert whole.first()["ids"] == sorted(i for i, v in zip(ids, u) if abs(v @ u[-1] - 1) < 1e-12)[:6]
 
 
+def test_clusters_with_copies_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "REPEATED", 100)
+    x = unit(np.random.default_rng(17).normal(size=(40, DIM))).astype(np.float16).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i % 40].tolist()) for i in range(3_200)], "sample_id long, v array<float>").repartition(20, "sample_id")
+    largest, before = [], mixture.grouped
+
+    def counted(rows, key, function, schema):
+        if key == "tile":
+            largest.append(rows.groupBy(key).count().agg(F.max("count")).first()[0])
+        return before(rows, key, function, schema)
+
+    monkeypatch.setattr(mixture, "grouped", counted)
+    got = mixture.clusters(df, "sample_id", "v", dim=DIM, least=0.999)
+    assert rows(got) == {(i % 40, i, i % 40) for i in range(3_200)} and got.count() == 3_200
+    assert largest == [40]
+
+
+def test_a_block_of_vectors_does_not_take_the_components_parameters_again(monkeypatch):
+    calls, before = [], mixture._coefficients
+    u = unit(np.random.default_rng(18).normal(size=(300, DIM)))
+    m = mixture.Mixture(u, 300, cell=20)
+    monkeypatch.setattr(mixture, "_coefficients", lambda *a: calls.append(1) or before(*a))
+    monkeypatch.setattr(mixture, "BLOCK", 64)
+    m._ready = None
+    home, mask = m.scores(u)
+    assert len(calls) == 1 and mask[np.arange(300), home].all()
+
+
 def test_copies_in_many_batches_are_one_row_of_a_tile(spark, monkeypatch):
     monkeypatch.setattr(vectors, "REPEATED", 100)
     x = unit(np.random.default_rng(14).normal(size=(40, DIM))).astype(np.float16).astype(np.float32)
