@@ -7,11 +7,15 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts that are encoded at once are at most so many, and of so many characters together unless one alone has more; a batch of token vectors has at most so many numbers.
+TEXTS, CHARACTERS, NUMBERS = 256, 1 << 17, 1 << 20
+
+
 class TokenEncoder(Protocol):
     """One matrix (tokens by dimensions) for each text. ``is_query`` may change how a text is prepared."""
 
@@ -101,10 +105,41 @@ def encode(df: DataFrame, key: str, text: str, encoder: TokenEncoder, *, is_quer
     kind = df.schema[key].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(encoder)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = held.value.encode(b["t"].tolist(), is_query=is_query)
-            n = [len(x) for x in out]
-            yield pd.DataFrame({key: np.repeat(b["k"].to_numpy(), n), "tok": np.concatenate([np.arange(x) for x in n]) if n else [], "v": [v.tolist() for x in out for v in x]})
-
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, tok int, v array<float>")
+            for at, texts in _parts(b.column(1)):
+                out = held.value.encode(texts, is_query=is_query)
+                yield from _token_rows(b.column(0).slice(at, len(texts)), out, key)
+
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {kind}, tok int, v array<float>")
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in runs of TEXTS and CHARACTERS at most, each with the number of its first one."""
+    first, own, size = 0, [], 0
+    for at in range(len(texts)):
+        t = texts[at].as_py()
+        if own and (len(own) == TEXTS or size + len(t) > CHARACTERS):
+            yield first, own
+            first, own, size = at, [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield first, own
+
+
+def _token_rows(keys: pa.Array, matrices: list[np.ndarray], key: str) -> Iterator[pa.RecordBatch]:
+    """A row for each row of each key's matrix, in batches of NUMBERS numbers at most; the numbers never become Python's."""
+    for i, x in enumerate(matrices):
+        matrices[i] = np.asarray(x, np.float32)
+    n = np.array([len(x) for x in matrices], np.int64)
+    if not n.sum():
+        return
+    dim = next(x.shape[1] for x in matrices if len(x))
+    of, tok = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    v = np.concatenate([x for x in matrices if len(x)])
+    step = max(1, NUMBERS // max(1, dim))
+    for at in range(0, len(of), step):
+        part = v[at : at + step]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[at : at + step])), pa.array(tok[at : at + step], pa.int32()), lists], [key, "tok", "v"])

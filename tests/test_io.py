@@ -242,3 +242,24 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (9, 10), (10, 11), (11, 12), (12, 13), (13, 9)], "a long, b long")
     assert rows(connected_components(edges, "a", "b")) == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), *((i, 9) for i in range(9, 14))}
     assert rows(connected_components(edges.limit(0), "a", "b")) == set()
+
+
+class Bounded:
+    """Refuses more than it should be given at once."""
+
+    def encode(self, texts, *, is_query=False):
+        from codelattice.functions.encoders import CHARACTERS, HashEncoder
+
+        assert len(texts) == 1 or len(texts) <= 256 and sum(map(len, texts)) <= CHARACTERS
+        return HashEncoder().encode(texts, is_query=is_query)
+
+
+def test_texts_are_encoded_in_parts_of_bounded_size(spark):
+    from codelattice.functions.encoders import HashEncoder, encode
+
+    data = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 60))) for i in range(2_000)] + [(5_000, None), (5_001, "long " * 40_000), (5_002, "")]
+    got = encode(spark.createDataFrame(data, "k long, text string").coalesce(1), "k", "text", Bounded())
+    assert got.count() == got.select("k", "tok").distinct().count() == sum(len(t.split()) for _, t in data if t)
+    e, of = HashEncoder(), dict(data)
+    for r in got.where("k % 400 = 59 or (k = 5001 and tok > 39990)").collect():
+        assert r.v == [float(x) for x in e.vector(of[r.k].split()[r.tok]).astype("float32")]
